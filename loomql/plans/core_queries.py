@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loomql.plans import packed_queries
 from loomql.sources.tables import table
 
 
@@ -18,7 +19,7 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {"p5_found": packed_queries.p5_found}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -9,9 +9,27 @@ from pyspark.sql import functions as F
 
 from loomql.sources.tables import table
 
+from . import p2_formatting as p2
 from . import p8_repetition as p8
 
 
+TICKET_FIELDS = [
+    "plate_id", "registration_state", "plate_type", "issue_date", "violation_code", "vehicle_body_type",
+    "vehicle_make", "violation_location", "violation_precinct", "vehicle_color",
+]
+OFFER_FIELDS = ["title", "description", "brand", "price", "category"]
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p2.collapse(
+        {
+            "parking_tickets1": p2.encode_columns(table(spark, sf_dir, "parking_tickets1"), "summons_number", TICKET_FIELDS),
+            "wdc1brands": p2.encode_columns(table(spark, sf_dir, "wdc1brands"), "id", OFFER_FIELDS),
+            "wdc_raw_lines": p2.encode_lines(table(spark, sf_dir, "wdc_raw_lines"), "raw_id", "line"),
+        }
+    )
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rules = tuple(r for r in p8.RULES if r.name == "repeated_words")
@@ -25,6 +43,7 @@ def p8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "p2_found": p2_found,
         "p8_found": p8_found,
         "p8_quality": p8_quality,
     }

@@ -9,10 +9,17 @@ from pyspark.sql import functions as F
 
 from loomql.sources.tables import table
 
+from . import p1_canonical as p1
 from . import p2_formatting as p2
 from . import p8_repetition as p8
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tickets = table(spark, sf_dir, "parking_tickets1").select("summons_number", "vehicle_make")
+    listed = table(spark, sf_dir, "car_brands1").select("make")
+    return p1.map_rows(tickets, "summons_number", "vehicle_make", listed, "make")
+
+
 TICKET_FIELDS = [
     "plate_id", "registration_state", "plate_type", "issue_date", "violation_code", "vehicle_body_type",
     "vehicle_make", "violation_location", "violation_precinct", "vehicle_color",
@@ -43,6 +50,7 @@ def p8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "p1_found": p1_found,
         "p2_found": p2_found,
         "p8_found": p8_found,
         "p8_quality": p8_quality,

@@ -11,6 +11,7 @@ from loomql.sources.tables import table
 
 from . import p1_canonical as p1
 from . import p2_formatting as p2
+from . import p4_names as p4
 from . import p8_repetition as p8
 
 
@@ -37,6 +38,12 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    books = table(spark, sf_dir, "gr_books").select("id", F.col("author_name").alias("name"))
+    authors = table(spark, sf_dir, "gr_authors").select("id", F.col("full_name").alias("name"))
+    return p4.link(books, authors, table(spark, sf_dir, "nicknames"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rules = tuple(r for r in p8.RULES if r.name == "repeated_words")
@@ -52,6 +59,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": p1_found,
         "p2_found": p2_found,
+        "p4_found": p4_found,
         "p8_found": p8_found,
         "p8_quality": p8_quality,
     }

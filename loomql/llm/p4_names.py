@@ -94,16 +94,15 @@ def _parts(read: DataFrame, nicknames: DataFrame) -> tuple[DataFrame, DataFrame]
     topics = read.where(F.col("kind").isNotNull()).select(
         F.explode(F.slice("toks", link_at + 1, F.when(link_at > 0, F.size("toks")).otherwise(0))).alias("t")
     )
-    topics = topics.groupBy("t").count().where("count > 1").agg(F.collect_set("t").alias("topics"))
-    orgless = read.crossJoin(F.broadcast(topics)).select(
-        "name", "kind", "gen",
-        F.when(
-            F.col("kind").isNotNull(),
-            F.filter(
-                "toks", lambda t, i: ~_in(t, all_kinds) & ~(_in(t, LINKS) & (i > 0)) & ~F.array_contains("topics", t)
-            ),
-        ).otherwise(F.col("toks")).alias("toks"),
+    topics = topics.groupBy("t").count().where("count > 1").select("t")
+    words = read.where(F.col("kind").isNotNull()).select("name", "kind", "gen", F.posexplode("toks").alias("i", "t"))
+    words = words.where(~_in(F.col("t"), all_kinds) & ~(_in(F.col("t"), LINKS) & (F.col("i") > 0)))
+    persons_of = (
+        words.join(topics, "t", "left_anti").groupBy("name", "kind", "gen")
+        .agg(F.sort_array(F.collect_list(F.struct("i", "t"))).alias("toks"))
+        .select("name", "kind", "gen", F.transform("toks", lambda x: x["t"]).alias("toks"))
     )
+    orgless = read.where(F.col("kind").isNull()).select("name", "kind", "gen", "toks").unionByName(persons_of)
     orgless = durable(orgless, "orgless")
     # given names: the list's, and first tokens that occur before many last tokens
     nick = nicknames.select(fold("nickname").alias("nick"), fold("given_name").alias("given")).where("nick is not null and given is not null")

@@ -11,6 +11,7 @@ from loomql.sources.tables import table
 
 from . import p1_canonical as p1
 from . import p2_formatting as p2
+from . import p3_products as p3
 from . import p4_names as p4
 from . import p8_repetition as p8
 
@@ -38,6 +39,11 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    offers = table(spark, sf_dir, "wdc1brands").withColumnRenamed("cluster_id", "hint")
+    return p3.pairs(p3.group(offers))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     books = table(spark, sf_dir, "gr_books").select("id", F.col("author_name").alias("name"))
     authors = table(spark, sf_dir, "gr_authors").select("id", F.col("full_name").alias("name"))
@@ -59,6 +65,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": p1_found,
         "p2_found": p2_found,
+        "p3_found": p3_found,
         "p4_found": p4_found,
         "p8_found": p8_found,
         "p8_quality": p8_quality,

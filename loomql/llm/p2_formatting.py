@@ -48,7 +48,7 @@ def identifier(field: Column, canon: Column) -> Column:
 
 def _digest(ids: Column) -> list[Column]:
     """Two independent 64-bit digests of a sorted tuple."""
-    return [F.xxhash64(ids, F.lit(1)).alias("d1"), F.xxhash64(ids, F.lit(2)).alias("d2")]
+    return [F.xxhash64(F.lit(1), ids).alias("d1"), F.xxhash64(F.lit(2), ids).alias("d2")]
 
 
 def encode_columns(df: DataFrame, key: str, fields: list[str], keep: tuple[str, ...] = ()) -> DataFrame:

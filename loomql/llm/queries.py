@@ -13,6 +13,8 @@ from . import p1_canonical as p1
 from . import p2_formatting as p2
 from . import p3_products as p3
 from . import p4_names as p4
+from . import p6_packing as p6
+from . import p7_mixture as p7
 from . import p8_repetition as p8
 
 
@@ -50,6 +52,33 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p4.link(books, authors, table(spark, sf_dir, "nicknames"))
 
 
+def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return p6.pack(p6.sizes_of(docs), table(spark, sf_dir, "pack_capacities"))
+
+
+def p6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _packed(spark, sf_dir)
+
+
+def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p6.containers(_packed(spark, sf_dir))
+
+
+def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p6.report(_packed(spark, sf_dir))
+
+
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return p7.mix(docs, table(spark, sf_dir, "mix_targets"))
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return p7.shares(docs, table(spark, sf_dir, "mix_targets"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rules = tuple(r for r in p8.RULES if r.name == "repeated_words")
@@ -67,6 +96,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p2_found": p2_found,
         "p3_found": p3_found,
         "p4_found": p4_found,
+        "p6_pack": p6_pack,
+        "p6_containers": p6_containers,
+        "p6_report": p6_report,
+        "p7_mix": p7_mix,
+        "p7_shares": p7_shares,
         "p8_found": p8_found,
         "p8_quality": p8_quality,
     }

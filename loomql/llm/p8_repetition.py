@@ -111,18 +111,18 @@ def repeated_word_share(
     from above: where this bound is below ``at_least`` the share is reported as 0 and the
     exact arithmetic is skipped. Shares of ``at_least`` and more are always exact.
     """
-    df = df.withColumn("_words", _words(F.col(text))).withColumn("_runs", _runs(F.col("_words")))
-    df = df.withColumn("_again", F.size("_runs") - F.size(F.array_distinct("_runs")))
-    again = (F.col("_again") > 0) & (RUN * F.col("_again") >= at_least * F.size("_words"))
-    tag = F.sort_array(F.transform("_runs", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    df = df.withColumn("_tagged", F.when(again, tag))
-    df = df.withColumn("_starts", F.when(again, _repeated_starts(F.col("_tagged"))))
+    df = df.withColumn("__p8_words", _words(F.col(text))).withColumn("__p8_runs", _runs(F.col("__p8_words")))
+    df = df.withColumn("__p8_again", F.size("__p8_runs") - F.size(F.array_distinct("__p8_runs")))
+    again = (F.col("__p8_again") > 0) & (RUN * F.col("__p8_again") >= at_least * F.size("__p8_words"))
+    tag = F.sort_array(F.transform("__p8_runs", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    df = df.withColumn("__p8_tagged", F.when(again, tag))
+    df = df.withColumn("__p8_starts", F.when(again, _repeated_starts(F.col("__p8_tagged"))))
     share = (
-        F.when(F.col("_words").isNull(), F.lit(None).cast("double"))
-        .when(again, _covered(F.col("_starts")) / F.size("_words"))
+        F.when(F.col("__p8_words").isNull(), F.lit(None).cast("double"))
+        .when(again, _covered(F.col("__p8_starts")) / F.size("__p8_words"))
         .otherwise(F.lit(0.0))
     )
-    return df.withColumn(out, share).drop("_words", "_runs", "_again", "_tagged", "_starts")
+    return df.withColumn(out, share).drop("__p8_words", "__p8_runs", "__p8_again", "__p8_tagged", "__p8_starts")
 
 
 def _share_of(part: Column, whole: Column) -> Column:
@@ -141,7 +141,7 @@ def quality_table(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = R
     comparison raises ValueError; a null text gives null metrics and false rules.
     """
     t = F.col(text)
-    words, lines = F.col("_w"), F.col("_l")
+    words, lines = F.col("__p8_w"), F.col("__p8_l")
     n_words, n_lines, n_chars = F.size(words), F.size(lines), F.length(t)
     present = t.isNotNull()
     metrics: dict[str, Column] = {
@@ -171,11 +171,11 @@ def quality_table(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = R
         df = repeated_word_share(df, text, at_least=min(r.bound for r in rules) if alone else 0.0)
         metrics["repeated_word_share"] = F.col("repeated_word_share")
     if needed != ["repeated_word_share"]:
-        df = df.withColumn("_w", _words(t)).withColumn("_l", _lines(t))
+        df = df.withColumn("__p8_w", _words(t)).withColumn("__p8_l", _lines(t))
     # A one-element generator binds the metrics: a filter on a rule stays above it, where pushing it
     # down would copy the metric expressions into the condition once per reference.
     kept = [c for c in df.columns if c not in needed]
-    bound = F.explode_outer(F.array(F.struct(*[metrics[m].alias(m) for m in needed]))).alias("_m")
-    df = df.select(*kept, bound).select(*kept, *[F.col("_m")[m].alias(m) for m in needed])
+    bound = F.explode_outer(F.array(F.struct(*[metrics[m].alias(m) for m in needed]))).alias("__p8_m")
+    df = df.select(*kept, bound).select(*kept, *[F.col("__p8_m")[m].alias(m) for m in needed])
     df = df.withColumns({f"is_{r.name}": F.coalesce(ops[r.op](F.col(r.metric), r.bound), F.lit(False)) for r in rules})
-    return df.drop("_w", "_l")
+    return df.drop("__p8_w", "__p8_l")

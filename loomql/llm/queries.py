@@ -28,6 +28,7 @@ TICKET_FIELDS = [
     "plate_id", "registration_state", "plate_type", "issue_date", "violation_code", "vehicle_body_type",
     "vehicle_make", "violation_location", "violation_precinct", "vehicle_color",
 ]
+_TEXT_FIELDS = {"plate_id", "registration_state", "plate_type", "vehicle_body_type", "vehicle_make", "violation_location", "vehicle_color"}
 OFFER_FIELDS = ["title", "description", "brand", "price", "category"]
 
 
@@ -106,5 +107,40 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+P8_FOUND_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS ws FROM documents WHERE text IS NOT NULL),
+g AS (SELECT doc_id, i, ws[i:i+4] AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM w WHERE len(ws) > 5)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY doc_id, k ORDER BY i) AS n FROM g) WHERE n > 1),
+c AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM r) GROUP BY doc_id)
+SELECT doc_id FROM c JOIN w USING (doc_id) WHERE n >= 0.25 * len(ws)
+"""
+
+# Canonical form without lookaround: points between digits are kept under another letter meanwhile.
+_CANON = (
+    r"regexp_replace(regexp_replace(regexp_replace(lower(upper({0})), '(\d)\.(\d)', '\1\u00a4\2', 'g'),"
+    r" '(\d)\.(\d)', '\1\u00a4\2', 'g'), '[^\p{{L}}\p{{N}}\u00a4]', '', 'g')"
+).replace("\\u00a4", "\u00a4")
+
+
+def _p2_sql() -> str:
+    tickets = ", ".join(_CANON.format(f"CAST({f} AS VARCHAR)") if f in _TEXT_FIELDS else f"CAST({f} AS VARCHAR)" for f in TICKET_FIELDS)
+    offers = ", ".join(_CANON.format(f) for f in OFFER_FIELDS)
+    pair = "lower(trim(regexp_extract(x, '^\\s*([A-Za-z_]+)\\s*[:=]', 1))) || '=' || " + _CANON.format("regexp_extract(x, '(?s)^\\s*[A-Za-z_]+\\s*[:=](.*)$', 1)")
+    tags = "lower(regexp_extract(x, '^<([A-Za-z_]+)>', 1)) || '=' || " + _CANON.format("regexp_extract(x, '(?s)^<[A-Za-z_]+>(.*)</$', 1)")
+    split = "CASE WHEN contains(line, ' | ') THEN string_split(line, ' | ') WHEN contains(line, chr(9)) AND NOT contains(line, '; ') THEN string_split(line, chr(9)) ELSE string_split(line, ';') END"
+    js = "lower(k) || '=' || " + _CANON.format("(line ->> k)")
+    named = f"""CASE WHEN ltrim(line)[1] = '{{' THEN list_transform(json_keys(line), lambda k: {js})
+      WHEN ltrim(line)[1] = '<' THEN list_transform(regexp_extract_all(line, '(?s)<[A-Za-z_]+>[^<]*</'), lambda x: {tags})
+      ELSE list_transform(list_filter({split}, lambda x: regexp_matches(x, '^\\s*[A-Za-z_]+\\s*[:=]')), lambda x: {pair}) END"""
+    return f"""
+WITH e AS (
+  SELECT 'parking_tickets1' AS tbl, CAST(summons_number AS VARCHAR) AS key, [{tickets}] AS rec FROM parking_tickets1
+  UNION ALL SELECT 'wdc1brands', id, [{offers}] FROM wdc1brands
+  UNION ALL SELECT 'wdc_raw_lines', CAST(raw_id AS VARCHAR), list_sort({named}) FROM wdc_raw_lines),
+g AS (SELECT tbl, key, min(key) OVER (PARTITION BY tbl, rec) AS first_key FROM e)
+SELECT tbl, first_key, key AS copy_key FROM g WHERE key <> first_key
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p2_found": _p2_sql(), "p8_found": P8_FOUND_SQL}

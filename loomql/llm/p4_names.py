@@ -230,9 +230,14 @@ def same_names(names: DataFrame, listed: DataFrame, nicknames: DataFrame) -> Dat
     # an initial that fits two different listed given names of the surname tells neither
     formal = lambda c: F.when(F.col(f"{c}.known"), F.col(f"{c}.t"))
     linked = durable(linked.select("a", "b", "g_a", "g_b"), "linked")
+    opening = F.when((F.length("g_a.t") > 1) & ~F.col("g_a.known"), F.substring("g_a.t", 1, 2))
     unclear = (
         linked.where(F.length("g_b.t") == 1).groupBy("b")
-        .agg(F.min(formal("g_a")).alias("lo"), F.max(formal("g_a")).alias("hi")).where("lo <> hi").select("b")
+        .agg(
+            F.min(formal("g_a")).alias("lo"), F.max(formal("g_a")).alias("hi"),
+            F.min(opening).alias("lo2"), F.max(opening).alias("hi2"),
+        )
+        .where("lo <> hi or (lo is null and lo2 <> hi2)").select("b")
     )
     direct = durable(linked.join(unclear, "b", "left_anti").select("a", "b", (F.length("g_a.t") > 1).alias("hub")), "direct")
     # two spellings that both mean a listed name in full mean each other

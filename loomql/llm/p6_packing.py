@@ -64,23 +64,29 @@ def best_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, n
     return at, np.array(left, dtype=np.int64)
 
 
-def lower_bound(sizes: np.ndarray, capacity: int) -> int:
-    """Containers that any packing needs: the best of three families of dual feasible functions."""
-    s = sizes[sizes > 0].astype(np.int64)
+def lower_bound(sizes: np.ndarray, capacity: int, counts: np.ndarray | None = None) -> int:
+    """Containers that any packing needs: the best of three families of dual feasible functions.
+
+    ``counts``: how often each size occurs (once if not given).
+    """
+    counts = np.ones(len(sizes), dtype=np.int64) if counts is None else counts.astype(np.int64)
+    some, some_counts = sizes > 0, counts[sizes > 0]
+    s = sizes[some].astype(np.int64)
     if not len(s):
         return 1 if len(sizes) else 0
-    best = -(-int(s.sum()) // capacity)
+    best = -(-int((s * some_counts).sum()) // capacity)
     # rounding family: (k + 1) x rounded down to a k-th, whole multiples kept
     for k in range(1, 21):
         scaled = (k + 1) * s
         value = np.where(scaled % capacity == 0, s * k, (scaled // capacity) * capacity)
-        best = max(best, -(-int(value.sum()) // (k * capacity)))
+        best = max(best, -(-int((value * some_counts).sum()) // (k * capacity)))
     # threshold family: items above C - e count whole, those below e not at all
-    hist = np.bincount(s, minlength=capacity + 1)
+    hist = np.zeros(capacity + 1, dtype=np.int64)
+    np.add.at(hist, s, some_counts)
     count_below = np.concatenate([[0], np.cumsum(hist)])
     sum_below = np.concatenate([[0], np.cumsum(hist * np.arange(capacity + 1))])
     e = np.arange(1, capacity // 2 + 1)
-    whole = len(s) - count_below[capacity - e + 1]
+    whole = count_below[-1] - count_below[capacity - e + 1]
     middle = sum_below[capacity - e + 1] - sum_below[e]
     if len(e):
         best = max(best, int((whole + -(-middle // capacity)).max()))
@@ -178,11 +184,22 @@ def containers(packed: DataFrame) -> DataFrame:
     ).withColumn("fill", F.round(F.col("filled_tokens") / F.col("capacity_tokens"), 6))
 
 
+def _bound_group(rows: pd.DataFrame) -> pd.DataFrame:
+    capacity = int(rows["capacity_tokens"].iloc[0])
+    bound = lower_bound(rows["n_tokens"].to_numpy(), capacity, rows["n"].to_numpy())
+    return pd.DataFrame({"capacity_id": [rows["capacity_id"].iloc[0]], "certified_bound": [bound]})
+
+
 def report(packed: DataFrame) -> DataFrame:
-    """One row per capacity: containers used, the least any packing could use by volume, and the mean fill."""
-    each = containers(packed)
-    return each.groupBy("capacity_id", "capacity_tokens").agg(
-        F.count(F.lit(1)).alias("n_containers"), F.sum("filled_tokens").alias("n_tokens"),
-    ).withColumn("volume_bound", F.ceil(F.col("n_tokens") / F.col("capacity_tokens"))).withColumn(
+    """One row per capacity: containers used, the least that any packing needs, and the mean fill.
+
+    The bound comes from the sizes and how often each occurs: at most ``capacity`` rows per capacity.
+    """
+    sizes = packed.groupBy("capacity_id", "capacity_tokens", "n_tokens").agg(F.count(F.lit(1)).alias("n"))
+    bounds = sizes.groupBy("capacity_id").applyInPandas(_bound_group, "capacity_id int, certified_bound long")
+    each = containers(packed).groupBy("capacity_id", "capacity_tokens").agg(
+        F.count(F.lit(1)).alias("n_containers"), F.sum("filled_tokens").alias("n_tokens")
+    )
+    return each.join(bounds, "capacity_id").withColumn(
         "mean_fill", F.round(F.col("n_tokens") / (F.col("n_containers") * F.col("capacity_tokens")), 6)
     )

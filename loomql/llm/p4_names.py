@@ -51,6 +51,7 @@ ONE_TYPO = 0.9
 GIVEN_RATIO = 0.79
 KNOWN_SURNAME_INITIALS = 3
 COMMON = 400
+ROWS_PER_BLOCK = 1000
 
 
 def _tokens(c: Column) -> Column:
@@ -259,19 +260,29 @@ def link(books: DataFrame, authors: DataFrame, nicknames: DataFrame) -> DataFram
         "names",
     )
     pairs = durable(same_names(counts.select("name"), counts.where("na > 0").select("name"), nicknames), "pairs")
-    # the rows of the listed side are attached to the name pairs first; the other side's rows then meet
-    # an array of author ids per name, so a name on a third of all books is split, not gathered
-    ids = pairs.join(authors.select(F.col("name").alias("a"), F.col("id").alias("author_id")), "a")
-    to_books = ids.groupBy("b").agg(F.collect_list("author_id").alias("authors"))
-    to_books = durable(to_books.join(counts.where("nb > 0").select(F.col("name").alias("b"), "nb"), "b"), "tobooks")
-    book_rows = books.select(F.col("name").alias("b"), F.col("id").alias("key_a"))
-    found = hot_cold_join(book_rows, to_books, ["b"], "nb", "inner").select(
-        F.lit("book_author").alias("pair_kind"), "key_a", F.explode("authors").alias("key_b")
+    # names on many author rows are cut into blocks of rows, so that no name gathers its ids in one place
+    blocks = counts.select(F.col("name").alias("a"), F.ceil(F.col("na") / ROWS_PER_BLOCK).cast("int").alias("blocks"))
+    cut = pairs.join(blocks, "a").select("a", "b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    meant = durable(
+        cut.groupBy("b").agg(F.collect_list(F.struct("a", "block")).alias("meant"))
+        .join(counts.select(F.col("name").alias("b"), (F.col("nb") + F.col("na")).alias("rows")), "b"),
+        "meant",
+    )
+    author_rows = authors.select(F.col("name").alias("a"), F.col("id").alias("key_b")).join(blocks, "a").select(
+        "a", "key_b", F.pmod(F.xxhash64("key_b"), F.col("blocks")).cast("int").alias("block")
+    )
+
+    def attach(rows: DataFrame) -> DataFrame:
+        """Rows (b, key_a) with the author rows their name means."""
+        met = hot_cold_join(rows, meant, ["b"], "rows", "inner").select("key_a", F.explode("meant").alias("m"))
+        return met.select("key_a", "m.a", "m.block").join(author_rows, ["a", "block"]).select("key_a", "key_b")
+
+    found = attach(books.select(F.col("name").alias("b"), F.col("id").alias("key_a"))).select(
+        F.lit("book_author").alias("pair_kind"), "key_a", "key_b"
     )
     twice = (
-        ids.join(authors.select(F.col("name").alias("b"), F.col("id").alias("other")), "b")
-        .select(F.least("author_id", "other").alias("key_a"), F.greatest("author_id", "other").alias("key_b"))
-        .where("key_a <> key_b").distinct()
+        attach(authors.select(F.col("name").alias("b"), F.col("id").alias("key_a"))).where("key_a <> key_b")
+        .select(F.least("key_a", "key_b").alias("key_a"), F.greatest("key_a", "key_b").alias("key_b")).distinct()
         .select(F.lit("author_author").alias("pair_kind"), "key_a", "key_b")
     )
     return found.unionByName(twice)

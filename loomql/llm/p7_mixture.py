@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomql.session import durable
@@ -66,6 +66,15 @@ def calibrate(by_level: dict[int, int], target: float, cap: int) -> float:
     return min((low, high), key=lambda m: (abs(_drawn(by_level, m, cap) - target), m))
 
 
+def _content(text: str) -> list[Column]:
+    """Two independent 64-bit hashes that stand for a text."""
+    return [F.xxhash64(F.lit(1), text).alias("h1"), F.xxhash64(F.lit(2), text).alias("h2")]
+
+
+def _level() -> Column:
+    return F.pmod(F.xxhash64(F.lit(SEED), "h1", "h2"), F.lit(LEVELS)).cast("int")
+
+
 def texts_of(docs: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """(h1, h2, doc_id, source, n_tokens, n_rows, level): each distinct text of a target source once."""
     count = token_counter(vocabulary)
@@ -73,15 +82,12 @@ def texts_of(docs: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY)
     if len(sources) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
     rows = docs.where(F.col("source").isin(sources) & F.col("doc_id").isNotNull() & (F.length("text") > 0)).select(
-        F.xxhash64(F.lit(1), "text").alias("h1"), F.xxhash64(F.lit(2), "text").alias("h2"),
-        "doc_id", "source", count(F.col("text")).alias("n_tokens"),
+        *_content("text"), "doc_id", "source", count(F.col("text")).alias("n_tokens"),
     )
     one = rows.groupBy("h1", "h2").agg(
         F.min(F.struct("doc_id", "source", "n_tokens")).alias("r"), F.count(F.lit(1)).alias("n_rows")
     )
-    return one.select(
-        "h1", "h2", "r.*", "n_rows", F.pmod(F.xxhash64(F.lit(SEED), "h1", "h2"), F.lit(LEVELS)).cast("int").alias("level")
-    )
+    return one.select("h1", "h2", "r.*", "n_rows", _level().alias("level"))
 
 
 def plan(texts: DataFrame, targets: DataFrame) -> list[dict]:
@@ -121,8 +127,13 @@ def counted(texts: DataFrame, planned: list[dict]) -> DataFrame:
 def mix(docs: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc_id, source, copy_no, n_tokens, text): the mixture, globally shuffled."""
     texts = durable(texts_of(docs, targets, vocabulary), "texts")
-    taken = counted(texts, plan(texts, targets)).where("times > 0").select("doc_id", "source", "n_tokens", "times")
-    bodies = docs.select("doc_id", "text", F.col("source").alias("_s")).where(F.length("text") > 0)
+    planned = plan(texts, targets)
+    taken = counted(texts, planned).where("times > 0").select("doc_id", "source", "n_tokens", "times")
+    # the level follows from the content, so texts that are not taken are left out before anything is shuffled
+    hashed = docs.where(F.length("text") > 0).select("doc_id", "text", "source", *_content("text"))
+    bodies = counted(hashed.withColumn("level", _level()), planned).where("times > 0").select(
+        "doc_id", "text", F.col("source").alias("_s")
+    )
     drawn = bodies.join(taken.withColumnRenamed("source", "_s"), ["doc_id", "_s"])
     copies = drawn.select("doc_id", F.col("_s").alias("source"), "n_tokens", "text", F.explode(F.sequence(F.lit(1), "times")).alias("copy_no"))
     order = F.xxhash64(F.lit(SEED + 1), "doc_id", "copy_no")

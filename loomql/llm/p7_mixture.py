@@ -118,10 +118,16 @@ def counted(texts: DataFrame, planned: list[dict]) -> DataFrame:
     usable = [w for w in planned if w["cuts"]]
     if not usable:
         return texts.withColumn("times", F.lit(0))
-    cuts = F.create_map(*[x for w in usable for x in (F.lit(w["source"]), F.array(*[F.lit(c) for c in w["cuts"]]))])
+    # one term per copy, without a lambda: the optimizer infers filters across the join from this expression
     u = (F.col("level") + 0.5) / LEVELS
-    times = F.size(F.filter(F.element_at(cuts, F.col("source")), lambda c: u >= c))
-    return texts.withColumn("times", F.when(F.element_at(cuts, F.col("source")).isNotNull(), times).otherwise(0))
+    times = F.lit(0)
+    for k in range(max(len(w["cuts"]) for w in usable)):
+        cut = F.lit(None).cast("double")
+        for w in usable:
+            if k < len(w["cuts"]):
+                cut = F.when(F.col("source") == w["source"], F.lit(w["cuts"][k])).otherwise(cut)
+        times = times + F.coalesce((u >= cut).cast("int"), F.lit(0))
+    return texts.withColumn("times", times)
 
 
 def mix(docs: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:

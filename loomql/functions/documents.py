@@ -166,3 +166,11 @@ def ts_headline(c: Column, *words: str) -> Column:
     """The text with the query words marked <b>..</b>."""
     alt = "|".join(re.escape(w) for w in words)
     return F.regexp_replace(c, rf"(?i)\b({alt})\b", "<b>$1</b>")
+
+
+def xml_table(df, column: str, row: str, fields: dict[str, tuple[str, object]], keep: list[str]):
+    """Rows of the ``row`` elements below the root: one column per field with its type and default."""
+    schema = f"`{row}` array<struct<{', '.join(f'`{n}`: {t}' for n, (t, _) in fields.items())}>>"
+    rows = df.select(*keep, F.explode(F.from_xml(F.col(column), schema)[row]).alias("_row"))
+    value = lambda n, d: F.col("_row")[n] if d is None else F.coalesce(F.col("_row")[n], F.lit(d))
+    return rows.select(*keep, *[value(n, d).alias(n) for n, (_, d) in fields.items()])

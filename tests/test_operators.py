@@ -138,3 +138,10 @@ def test_user_aggregate_on_nulls(spark):
     total = Aggregate(lambda: [0.0], lambda s, x: [s[0] + float(x.sum())], lambda a, b: [a[0] + b[0]], lambda s: s[0])
     df = spark.createDataFrame(pd.DataFrame({"g": [1, 1, 2], "v": [1.0, 2.0, None]}))
     assert sorted(map(tuple, total.group(df, ["g"], "v", "s").collect())) == [(1, 3.0), (2, 0.0)]
+
+
+def test_counted_join_counts_both_sides(spark):
+    a, b = spark.range(4).toDF("x"), spark.range(6).toDF("y")
+    out, seen = special_joins.counted_join(a, b, lambda p, q: p.x > q.y)
+    assert len(out.collect()) == 6
+    assert [seen[n].get["rows"] for n in ("left", "right", "found")] == [4, 6, 6]

@@ -3,7 +3,8 @@
 Names are reduced to distinct strings and read into parts: surname, given and middle name,
 generation, and for organisations named after a person their kind. Order does not matter: a comma, and
 otherwise which tokens are given names, tells the surname (given names are the reference list's and
-those that occur with many surnames).
+those that occur with many surnames). A learned name that is a nickname of the list, or shortens a longer given
+name and stands before a fifth of its surnames like that one, tells the order only: it is a short form, not a name of its own.
 
 Suffix blocking. The suffixes of the surname (read forwards and backwards, so that a typo at one end leaves the
 other) are indexed together with the initial, and those of the given name together with either end of
@@ -50,6 +51,7 @@ SURNAME_RATIO = 0.86
 ONE_TYPO = 0.9
 GIVEN_RATIO = 0.79
 KNOWN_SURNAME_INITIALS = 3
+SHORT_SHARE = 0.2
 COMMON = 400
 ROWS_PER_BLOCK = 1000
 
@@ -87,6 +89,24 @@ def read_names(names: DataFrame) -> DataFrame:
     return names.select("name", plain.alias("toks"), named.alias("kind"), gen.alias("gen"))
 
 
+def _short_forms(before: DataFrame, learned: DataFrame, known: DataFrame) -> DataFrame:
+    """(g): learned names that contract a longer known name, or are its pet form, and share surnames with it.
+
+    ``before`` has each first token ``g`` with the last tokens ``s`` it stands before, once each.
+    """
+    longer = F.broadcast(known.select(F.col("g").alias("f")))
+    contraction = (F.length("g") <= 5) & F.regexp_like("f", F.regexp_replace("g", r"(?<=.)(?=.)", ".*"))
+    pet = F.col("g").rlike("(ie|y)$") & (F.substring("g", 1, 3) == F.substring("f", 1, 3))
+    fits = learned.join(longer, F.substring("g", 1, 1) == F.substring("f", 1, 1)).where(
+        (F.length("g") < F.length("f")) & (contraction | pet)
+    )
+    met = before.join(F.broadcast(fits), "g").join(
+        before.select(F.col("g").alias("f"), "s", F.lit(1).alias("shared")), ["f", "s"], "left"
+    )
+    share = met.groupBy("g", "f").agg((F.count("shared") / F.count(F.lit(1))).alias("share"))
+    return share.where(F.col("share") >= SHORT_SHARE).select("g").distinct()
+
+
 def _parts(read: DataFrame, nicknames: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Surname, given and middle name of each name; and the table of known given names."""
     all_kinds = "|".join(KINDS.values())
@@ -107,19 +127,24 @@ def _parts(read: DataFrame, nicknames: DataFrame) -> tuple[DataFrame, DataFrame]
     orgless = durable(orgless, "orgless")
     # given names: the list's, and first tokens that occur before many last tokens
     nick = nicknames.select(fold("nickname").alias("nick"), fold("given_name").alias("given")).where("nick is not null and given is not null")
-    firsts = (
+    before = durable(
         orgless.where(F.size("toks") >= 2)
         .select(F.get("toks", F.lit(0)).alias("g"), F.get("toks", F.size("toks") - 1).alias("s"))
-        .where(F.length("g") >= 3)
-        .groupBy("g").agg(F.approx_count_distinct("s").alias("n"))
+        .where(F.length("g") >= 3).distinct(),
+        "before",
     )
+    firsts = before.groupBy("g").agg(F.approx_count_distinct("s").alias("n"))
     many = F.greatest(F.lit(6), F.lit(0.0008) * orgless.count())
-    known = durable(
-        firsts.where((F.col("n") >= many) & (F.length("g") <= 12)).select("g")
-        .unionByName(nick.select(F.col("given").alias("g"))).distinct(),
-        "given",
+    formal = nick.select(F.col("given").alias("g")).distinct()
+    learned = durable(
+        firsts.where((F.col("n") >= many) & (F.length("g") <= 12)).select("g").join(formal, "g", "left_anti"), "learned"
     )
-    spelled = known.select(F.col("g").alias("t"), F.lit(True).alias("is_known"), F.col("g").alias("as_given")).unionByName(
+    known = durable(learned.unionByName(formal), "given")
+    short = _short_forms(before, learned, known).unionByName(nick.select(F.col("nick").alias("g"))).distinct()
+    own = formal.unionByName(learned.join(short, "g", "left_anti")).withColumn("own", F.lit(True))
+    spelled = known.join(own, "g", "left").select(
+        F.col("g").alias("t"), F.coalesce("own", F.lit(False)).alias("is_known"), F.col("g").alias("as_given")
+    ).unionByName(
         nick.select(F.col("nick").alias("t"), F.lit(False).alias("is_known"), F.col("given").alias("as_given"))
     ).groupBy("t").agg(F.max("is_known").alias("is_known"), F.collect_set("as_given").alias("as_given"))
     # the given-name table is bounded by the relative threshold above: at most 1/0.0008 names plus the list

@@ -188,6 +188,16 @@ def test_p4_cases(spark):
     assert got == want
 
 
+def test_p4_frequent_short_forms_stay_short(spark):
+    """A short form before many surnames still means the long one; a name of its own does not."""
+    ends = ["Duvfezkpock", "Balkashtrim", "Worgentulla", "Kimpazzorel", "Hastrugvind", "Pelmoquarny", "Zixtaverbog"]
+    others = ["Grunthavels", "Mortisquade", "Lubfenkrast", "Yorvampeldi", "Cheskintorv", "Fabruntwolm", "Nedgalpurik"]
+    authors = [f"Daniel {s}" for s in ends] + [f"Winifred {s}" for s in ends] + [f"Oliver {s}" for s in ends]
+    books = [f"Danl. {s}" for s in ends] + [f"{s}, Winnie" for s in ends] + [f"Olive {s}" for s in others + ends[:1]]
+    got = {(b, a) for kind, b, a in linked(spark, books, authors) if kind == "book_author"}
+    assert got == {(f"b{i}", f"a{i}") for i in range(14)}
+
+
 def test_p4_empty(spark):
     assert linked(spark, [None], [None]) == set()
 

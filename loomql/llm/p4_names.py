@@ -8,13 +8,13 @@ name and stands before a fifth of its surnames like that one, tells the order on
 
 Suffix blocking. The suffixes of the surname (read forwards and backwards, so that a typo at one end leaves the
 other) are indexed together with the initial, and those of the given name together with either end of
-the surname. A suffix is never used alone, and one that is still common after this refinement is refined
-again by more letters instead of being discarded, so no link is lost to a cap. Candidates are compared
+the surname. A suffix is never used alone, and one that is still common after this refinement is kept as it is
+and only paired block by block, so which names meet does not depend on how many share a suffix. Candidates are compared
 by the longest-common-subsequence ratio of their surnames; given and middle names must agree (equal,
 nickname, initial, abbreviation or typo), generations and kinds must not differ. Two spellings more than one
 letter apart that both occur as surnames of several persons are different surnames, two given names of the list are different names.
 
-Scale: distinct names only; the join is an equi-join on refined suffixes between author names and all names;
+Scale: distinct names only; the join is an equi-join on refined suffixes and blocks between author names and all names;
 the result returns to the rows by the distinct name, spread by the hot/cold split.
 
 Defined cases: null, blank and one-part names give no link; initials that fit two listed
@@ -52,7 +52,7 @@ ONE_TYPO = 0.9
 GIVEN_RATIO = 0.79
 KNOWN_SURNAME_INITIALS = 3
 SHORT_SHARE = 0.2
-COMMON = 400
+NAMES_PER_BLOCK = 400
 ROWS_PER_BLOCK = 1000
 
 
@@ -182,19 +182,23 @@ def _keys(parts: DataFrame) -> DataFrame:
     long_given = F.filter(formal, lambda x: F.length(x) >= 4)
     tail = lambda x, n: F.substring(x, -n, n)
 
-    def build(n: int, given_letters: int) -> Column:
-        by_initial = F.transform(_initials(F.col("g")), lambda i: F.concat(F.lit(f"s{n}:"), tail(s, n), F.lit("|"), i))
-        by_initial_back = F.transform(_initials(F.col("g")), lambda i: F.concat(F.lit(f"r{n}:"), tail(back, n), F.lit("|"), i))
-        by_given = F.transform(long_given, lambda g: F.concat(F.lit(f"g{n}:"), tail(g, 4), F.lit("|"), F.substring(s, 1, given_letters)))
-        by_given_back = F.transform(long_given, lambda g: F.concat(F.lit(f"h{n}:"), tail(g, 4), F.lit("|"), tail(s, given_letters)))
-        return F.concat(by_initial, by_initial_back, by_given, by_given_back)
+    by_initial = F.transform(_initials(F.col("g")), lambda i: F.concat(F.lit("s:"), tail(s, 5), F.lit("|"), i))
+    by_initial_back = F.transform(_initials(F.col("g")), lambda i: F.concat(F.lit("r:"), tail(back, 5), F.lit("|"), i))
+    by_given = F.transform(long_given, lambda g: F.concat(F.lit("g:"), tail(g, 4), F.lit("|"), F.substring(s, 1, 3)))
+    by_given_back = F.transform(long_given, lambda g: F.concat(F.lit("h:"), tail(g, 4), F.lit("|"), tail(s, 3)))
+    return parts.select("name", F.explode(F.concat(by_initial, by_initial_back, by_given, by_given_back)).alias("key")).distinct()
 
-    wide = parts.select("name", F.posexplode(F.arrays_zip(build(5, 3).alias("w"), build(8, 6).alias("f"))).alias("n", "k")).select(
-        "name", F.col("k.w").alias("key"), F.col("k.f").alias("finer")
-    )
-    common = wide.groupBy("key").count().where(F.col("count") > COMMON).select("key", "count")
-    marked = hot_cold_join(wide, common.select("key", F.lit(True).alias("is_common"), F.col("count").alias("w")), ["key"], "w", "left")
-    return marked.select("name", F.when(F.col("is_common"), F.col("finer")).otherwise(F.col("key")).alias("key")).distinct()
+
+def _candidates(keys: DataFrame, listed: DataFrame, block: int = NAMES_PER_BLOCK) -> DataFrame:
+    """(a, b): every listed name with every other name of each of its keys, in blocks of about ``block`` names a side."""
+    common = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block)
+    common = durable(common.withColumn("blocks", F.ceil(F.col("n") / block).cast("int")), "common")
+    marked = hot_cold_join(keys, common, ["key"], "n", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    at, every = F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int"), F.sequence(F.lit(0), F.col("blocks") - 1)
+    marked = durable(marked.select("name", "key", at.alias("at"), every.alias("every")), "marked")
+    left = marked.join(listed, "name").select("key", F.col("at").alias("i"), F.explode("every").alias("j"), F.col("name").alias("a"))
+    right = marked.select("key", F.explode("every").alias("i"), F.col("at").alias("j"), F.col("name").alias("b"))
+    return left.join(right, ["key", "i", "j"]).where("a <> b").select("a", "b").distinct()
 
 
 def _agree(a: str, b: str, ratio: str) -> Column:
@@ -230,8 +234,7 @@ def same_names(names: DataFrame, listed: DataFrame, nicknames: DataFrame) -> Dat
         parts.join(surnames, "s").withColumn("known_surname", F.col("persons") >= KNOWN_SURNAME_INITIALS).drop("persons"), "parts2"
     )
     keys = durable(_keys(parts), "keys")
-    left = keys.join(listed, "name").select("key", F.col("name").alias("a"))
-    pairs = left.join(keys.select("key", F.col("name").alias("b")), "key").where("a <> b").select("a", "b").distinct()
+    pairs = _candidates(keys, listed)
     side = lambda n: parts.select(*[F.col(c).alias(n if c == "name" else f"{c}_{n}") for c in parts.columns])
     full = pairs.join(side("a"), "a").join(side("b"), "b")
     near = F.levenshtein("s_a", "s_b", 5)

@@ -198,6 +198,23 @@ def test_p4_frequent_short_forms_stay_short(spark):
     assert got == {(f"b{i}", f"a{i}") for i in range(14)}
 
 
+def test_p4_a_common_key_keeps_its_typos(spark):
+    """More names under one key than a block holds: a typo inside the surname is still linked."""
+    middles = ["".join(x) for x in itertools.product("bdfgk", "ao", "lmnrt", "aeiou", "s", "x")]
+    books = [f"Irene {m.capitalize()} Vapfezkhush" for m in middles] + [f"Irene {m.capitalize()} Vapfeqkhush" for m in middles] + ["Irene Vapfeqkhush"]
+    assert len(books) > 400
+    assert ("book_author", f"b{len(books) - 1}", "a0") in linked(spark, books, ["Irene Vapfezkhush"])
+
+
+@pytest.mark.parametrize("block", [1, 3, 1000])
+def test_p4_blocks_meet_all_pairs(spark, block):
+    rows = [(f"n{i:02d}", f"k{i % 3 if i % 2 else 0}") for i in range(30)]
+    own = [n for n, _ in rows[::4]]
+    keys = spark.createDataFrame(rows, "name string, key string")
+    got = sorted(map(tuple, p4._candidates(keys, spark.createDataFrame([(n,) for n in own], "name string"), block).collect()))
+    assert got == sorted((a, b) for a, k in rows for b, h in rows if k == h and a != b and a in own)
+
+
 def test_p4_empty(spark):
     assert linked(spark, [None], [None]) == set()
 

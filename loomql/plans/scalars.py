@@ -57,14 +57,24 @@ def bit_strings(t: Tables) -> DataFrame:
     return v.select("b", st.get_bit(c("b"), 1).alias("bit1"), st.bits_op(c("b"), k, "and").alias("bitand"), st.bits_op(c("b"), k, "or").alias("bitor"), st.bits_op(c("b"), k, "xor").alias("bitxor"), st.bits_not(c("b")).alias("bitnot"), st.bits_shift(c("b"), 1).alias("shl"))
 
 
-@R.query("SELECT l_orderkey, l_linenumber, l_partkey, CAST(l_partkey // l_linenumber AS BIGINT) AS q, l_partkey % 7 AS m, CAST(round_even(l_quantity / 4, 0) AS BIGINT) AS ri, round(cbrt(l_extendedprice), 6) AS cb, round(sqrt(l_quantity), 8) AS sq, round(power(l_quantity, 2.5), 4) AS pw, trunc(l_extendedprice) AS tr, ceil(l_discount * 10) AS ce, floor(l_tax * 10) AS fl, sign(l_discount - 0.05) AS sg, round(ln(l_quantity), 8) AS lg FROM lineitem WHERE l_orderkey < 2000")
-def math_functions(t: Tables) -> DataFrame:
+def _math(lines: DataFrame) -> DataFrame:
     q, p = c("l_quantity"), c("l_partkey")
-    return t("lineitem").where("l_orderkey < 2000").select("l_orderkey", "l_linenumber", "l_partkey", nm.int_div(p, c("l_linenumber")).alias("q"), (p % 7).alias("m"), nm.to_int(q / 4).alias("ri"), F.round(F.cbrt("l_extendedprice"), 6).alias("cb"),
+    return lines.select("l_orderkey", "l_linenumber", "l_partkey", nm.int_div(p, c("l_linenumber")).alias("q"), (p % 7).alias("m"), nm.to_int(q / 4).alias("ri"), F.round(F.cbrt("l_extendedprice"), 6).alias("cb"),
         F.round(F.sqrt(q), 8).alias("sq"), F.round(nm.power(q, F.lit(2.5)), 4).alias("pw"), nm.trunc(c("l_extendedprice")).alias("tr"), F.ceil(c("l_discount") * 10).cast("double").alias("ce"), F.floor(c("l_tax") * 10).cast("double").alias("fl"),
         F.signum(c("l_discount") - 0.05).cast("tinyint").alias("sg"), F.round(nm.ln_strict(q), 8).alias("lg"))
 
 
+@R.query("SELECT l_orderkey, l_linenumber, l_partkey, CAST(l_partkey // l_linenumber AS BIGINT) AS q, l_partkey % 7 AS m, CAST(round_even(l_quantity / 4, 0) AS BIGINT) AS ri, round(cbrt(l_extendedprice), 6) AS cb, round(sqrt(l_quantity), 8) AS sq, round(power(l_quantity, 2.5), 4) AS pw, trunc(l_extendedprice) AS tr, ceil(l_discount * 10) AS ce, floor(l_tax * 10) AS fl, sign(l_discount - 0.05) AS sg, round(ln(l_quantity), 8) AS lg FROM lineitem WHERE l_orderkey < 2000")
+def math_functions(t: Tables) -> DataFrame:
+    return _math(t("lineitem").where("l_orderkey < 2000"))
+
+
+@R.query("SELECT l_orderkey, l_linenumber, l_partkey, CAST(l_partkey // l_linenumber AS BIGINT) AS q, l_partkey % 7 AS m, CAST(round_even(l_quantity / 4, 0) AS BIGINT) AS ri, round(cbrt(l_extendedprice), 6) AS cb, round(sqrt(l_quantity), 8) AS sq, round(power(l_quantity, 2.5), 4) AS pw, trunc(l_extendedprice) AS tr, ceil(l_discount * 10) AS ce, floor(l_tax * 10) AS fl, sign(l_discount - 0.05) AS sg, round(ln(l_quantity), 8) AS lg FROM lineitem")
+def math_functions_table(t: Tables) -> DataFrame:
+    """The same over every row."""
+    return _math(t("lineitem"))
+
+
 @R.query("SELECT d, CASE d WHEN 0 THEN 0.0 WHEN 30 THEN 0.5 WHEN 90 THEN 1.0 WHEN 210 THEN -0.5 ELSE round(sin(radians(d)), 12) END AS s, CASE d WHEN 0 THEN 1.0 WHEN 60 THEN 0.5 WHEN 90 THEN 0.0 ELSE round(cos(radians(d)),12) END AS k FROM (VALUES (0.0::DOUBLE),(30.0),(45.0),(60.0),(90.0),(210.0)) v(d)")
 def degree_functions(t: Tables) -> DataFrame:
     v = t.spark.sql("SELECT * FROM VALUES (0D),(30D),(45D),(60D),(90D),(210D) v(d)")

@@ -79,6 +79,14 @@ def copy_round_trip(t: Tables) -> DataFrame:
     return tables.delimited(t.spark, path, "o_orderkey bigint, o_orderpriority string, o_totalprice double", delimiter="|", header=True)
 
 
+@R.query("SELECT o_orderkey, o_orderpriority, o_totalprice FROM orders")
+def copy_round_trip_table(t: Tables) -> DataFrame:
+    """The whole table exported and loaded again."""
+    path = f"{shared_dir(t.spark)}/loomql-copy-{uuid.uuid4().hex}"
+    sinks.copy_to(t("orders").select("o_orderkey", "o_orderpriority", "o_totalprice"), path, delimiter="|", header=True)
+    return tables.delimited(t.spark, path, "o_orderkey bigint, o_orderpriority string, o_totalprice double", delimiter="|", header=True)
+
+
 @R.query("SELECT p_brand, count(*) AS n FROM part GROUP BY 1")
 def materialized_view(t: Tables) -> DataFrame:
     return sinks.MaterializedView(t.spark, "brands", lambda: t("part").groupBy("p_brand").agg(F.count(F.lit(1)).alias("n"))).refresh().read()

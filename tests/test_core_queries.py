@@ -25,7 +25,7 @@ def test_every_sql_has_a_query():
     assert set(SQL) <= set(QUERIES)
 
 
-@pytest.mark.parametrize("name, table", [("math_functions_table", "lineitem")])
+@pytest.mark.parametrize("name, table", [("math_functions_table", "lineitem"), ("copy_round_trip_table", "orders")])
 def test_whole_table(spark, sf_dir, name, table):
     (rows,) = connect(sf_dir).execute(f"SELECT count(*) FROM {table}").fetchone()
     assert QUERIES[name](spark, sf_dir).count() == rows

@@ -130,6 +130,22 @@ def except_all(t: Tables) -> DataFrame:
     return a.exceptAll(li.where("l_orderkey BETWEEN 800 AND 1000").select("l_linenumber")).groupBy("x").agg(F.count(F.lit(1)).alias("n"))
 
 
+@R.query("SELECT s, x, q, count(*) AS n FROM (SELECT l_suppkey AS s, l_linenumber AS x, l_quantity AS q FROM lineitem WHERE l_linestatus = 'F' INTERSECT ALL SELECT l_suppkey, l_linenumber, l_quantity FROM lineitem WHERE l_linestatus <> 'F') GROUP BY s, x, q")
+def intersect_all_table(t: Tables) -> DataFrame:
+    """Both sides by content, so that they hold the whole table."""
+    li = t("lineitem").select(F.col("l_suppkey").alias("s"), F.col("l_linenumber").alias("x"), F.col("l_quantity").alias("q"), "l_linestatus")
+    a, b = li.where("l_linestatus = 'F'").drop("l_linestatus"), li.where("l_linestatus <> 'F'").drop("l_linestatus")
+    return a.intersectAll(b).groupBy("s", "x", "q").agg(F.count(F.lit(1)).alias("n"))
+
+
+@R.query("SELECT s, x, q, count(*) AS n FROM (SELECT l_suppkey AS s, l_linenumber AS x, l_quantity AS q FROM lineitem WHERE l_linestatus = 'F' EXCEPT ALL SELECT l_suppkey, l_linenumber, l_quantity FROM lineitem WHERE l_linestatus <> 'F') GROUP BY s, x, q")
+def except_all_table(t: Tables) -> DataFrame:
+    """Both sides by content, so that they hold the whole table."""
+    li = t("lineitem").select(F.col("l_suppkey").alias("s"), F.col("l_linenumber").alias("x"), F.col("l_quantity").alias("q"), "l_linestatus")
+    a, b = li.where("l_linestatus = 'F'").drop("l_linestatus"), li.where("l_linestatus <> 'F'").drop("l_linestatus")
+    return a.exceptAll(b).groupBy("s", "x", "q").agg(F.count(F.lit(1)).alias("n"))
+
+
 @R.query("SELECT c_custkey AS k FROM customer INTERSECT SELECT o_custkey FROM orders WHERE o_orderstatus = 'F'")
 def intersect_distinct(t: Tables) -> DataFrame:
     return t("customer").select(F.col("c_custkey").alias("k")).intersect(t("orders").where("o_orderstatus = 'F'").select("o_custkey"))

@@ -29,3 +29,10 @@ def test_every_sql_has_a_query():
 def test_whole_table(spark, sf_dir, name, table):
     (rows,) = connect(sf_dir).execute(f"SELECT count(*) FROM {table}").fetchone()
     assert QUERIES[name](spark, sf_dir).count() == rows
+
+
+def test_whole_multisets(spark, sf_dir):
+    """What both sides share and what only the first has make up the first side."""
+    rows = [sum(r.n for r in QUERIES[name](spark, sf_dir).collect()) for name in ("intersect_all_table", "except_all_table")]
+    (first,) = connect(sf_dir).execute("SELECT count(*) FROM lineitem WHERE l_linestatus = 'F'").fetchone()
+    assert min(rows) > 0 and sum(rows) == first

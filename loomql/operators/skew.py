@@ -1,37 +1,62 @@
-"""Joining many rows to a keyed dimension when a few keys may hold most rows."""
+"""Joining many rows on a key that a few values may dominate."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HOT_KEYS = 1000
 
 
+def _spread(rows: DataFrame, chunks: Column) -> Column:
+    """A number below ``chunks`` for each row, the same again if a task is repeated."""
+    plain = [c for c, kind in rows.dtypes if "map<" not in kind and kind != "variant"]
+    return F.pmod(F.xxhash64(F.spark_partition_id(), *plain), chunks)
+
+
 def hot_cold_join(
     rows: DataFrame,
     dim: DataFrame,
     on: list[str],
-    weight: str,
+    weight: str | None = None,
     how: str = "left",
     hot_keys: int = HOT_KEYS,
 ) -> DataFrame:
-    """Join ``rows`` to ``dim`` (unique in ``on``) without gathering a hot key in one task.
+    """Join ``rows`` to ``dim`` without gathering a hot key in one task; both are read once.
 
-    ``weight`` is a column of ``dim`` proportional to the rows each key has in ``rows``. At most
-    ``hot_keys`` keys can hold a ``1 / hot_keys`` part of the weight or more: these are
-    broadcast (a proven bound on their number) and joined where the rows lie. Every other
-    key holds less than that part, so the shuffled join of the rest is even.
+    ``weight`` is a column of ``dim`` proportional to the rows each key has in ``rows`` (then ``dim`` is unique in
+    ``on``); without one the rows are counted first (map-side combined) and ``dim`` may repeat its keys. At most
+    ``hot_keys`` keys can hold a ``1 / hot_keys`` part of the rows or more. Only these keys and their
+    number of parts are broadcast (a proven bound on rows and bytes): the rows of a hot key are cut into that many
+    parts, each about ``1 / hot_keys`` of all rows, and the matching rows of ``dim`` are repeated once for each part.
 
     Keys are compared with ``=`` (a null key matches nothing; with ``how='left'`` its row stays
-    with null values, with ``how='inner'`` it goes). ``weight`` is not in the result.
+    with null values, spread over all tasks; with ``how='inner'`` it goes). ``weight`` is not in the result.
     """
     if how not in ("left", "inner"):
         raise ValueError(how)
-    total = dim.agg(F.sum(weight)).first()[0] or 0
-    hot = dim.where(F.col(weight) * hot_keys >= F.lit(total)) if total else dim.limit(0)
-    cold = dim.where(F.col(weight) * hot_keys < F.lit(total)).drop(weight)
-    keys = F.broadcast(hot.select(*on))
-    at_hot = rows.join(F.broadcast(hot.drop(weight)), on, "inner")
-    rest = rows.join(keys, on, "left_anti").join(cold, on, how)
-    return at_hot.unionByName(rest)
+    if weight is None:
+        known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in on])
+        sizes = rows.where(known).groupBy(*on).agg(F.count(F.lit(1)).alias("_w"))
+    else:
+        sizes = dim.select(*on, F.col(weight).alias("_w"))
+        dim = dim.drop(weight)
+    total = sizes.agg(F.sum("_w")).first()[0] or 0
+    if not total:
+        return rows.join(dim, on, how)
+    hot = sizes.where(F.col("_w") * hot_keys >= F.lit(total)).select(
+        *on, F.ceil(F.col("_w") * hot_keys / F.lit(float(total))).cast("int").alias("_parts")
+    )
+    if hot.isEmpty():
+        return rows.join(dim, on, how)
+    hot = F.broadcast(hot)
+    cut = F.when(F.col("_parts").isNotNull(), _spread(rows, F.col("_parts")))
+    if how == "left":
+        lost = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in on])
+        cut = cut.when(lost, _spread(rows, F.lit(hot_keys)))
+    left = rows.join(hot, on, "left").withColumn("_part", F.coalesce(cut.cast("int"), F.lit(0))).drop("_parts")
+    every = F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)
+    right = dim.join(hot, on, "left").withColumn("_part", F.explode(every)).drop("_parts")
+    return left.join(right, [*on, "_part"], how).drop("_part")

@@ -20,14 +20,15 @@ def hot_cold_join(
     rows: DataFrame,
     dim: DataFrame,
     on: list[str],
-    weight: str | None = None,
+    weight: str | DataFrame | None = None,
     how: str = "left",
     hot_keys: int = HOT_KEYS,
 ) -> DataFrame:
     """Join ``rows`` to ``dim`` without gathering a hot key in one task; both are read once.
 
     ``weight`` is a column of ``dim`` proportional to the rows each key has in ``rows`` (then ``dim`` is unique in
-    ``on``); without one the rows are counted first (map-side combined) and ``dim`` may repeat its keys. At most
+    ``on``), or a table (``on``, ``n``) of such numbers; without one the rows are counted first (map-side combined). In
+    these two cases ``dim`` may repeat its keys. At most
     ``hot_keys`` keys can hold a ``1 / hot_keys`` part of the rows or more. Only these keys and their
     number of parts are broadcast (a proven bound on rows and bytes): the rows of a hot key are cut into that many
     parts, each about ``1 / hot_keys`` of all rows, and the matching rows of ``dim`` are repeated once for each part.
@@ -40,17 +41,17 @@ def hot_cold_join(
     if weight is None:
         known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in on])
         sizes = rows.where(known).groupBy(*on).agg(F.count(F.lit(1)).alias("_w"))
+    elif isinstance(weight, DataFrame):
+        sizes = weight.select(*on, F.col("n").alias("_w"))
     else:
         sizes = dim.select(*on, F.col(weight).alias("_w"))
         dim = dim.drop(weight)
-    total = sizes.agg(F.sum("_w")).first()[0] or 0
-    if not total:
+    total, most = sizes.agg(F.sum("_w"), F.max("_w")).first()
+    if not total or most * hot_keys < total:
         return rows.join(dim, on, how)
     hot = sizes.where(F.col("_w") * hot_keys >= F.lit(total)).select(
         *on, F.ceil(F.col("_w") * hot_keys / F.lit(float(total))).cast("int").alias("_parts")
     )
-    if hot.isEmpty():
-        return rows.join(dim, on, how)
     hot = F.broadcast(hot)
     cut = F.when(F.col("_parts").isNotNull(), _spread(rows, F.col("_parts")))
     if how == "left":

@@ -1,20 +1,24 @@
 """Product listings that describe the same item, by generic merge resolution.
 
 A listing is read into attributes: model code, series word, colour and measured values in one unit per kind
-(volume, power, weight, length, memory, pack). Listings that match merge into a profile whose
-attributes are the union of theirs (the most frequent value of each kind); profiles are blocked again by
-series and matched with the listings still alone, which makes them richer, until a round changes nothing.
-A listing without a code joins the one profile of its series that agrees with at least one of its
-attributes, contradicts none and agrees best; several equally good profiles are told apart by a patchy
-group hint (a majority of the hint's listings), or it stays alone. What is left is merged by a complete set of
-attributes, or as a repeated text.
+(volume, power, weight, length, memory, pack). Listings that match merge into a profile whose attributes are the union of
+theirs (the most frequent value of each kind). In each round the listings still alone are blocked anew against
+the profiles as they have become, by series and, where they name none, by the series that their group hint has
+gained, and matched; complete attribute sets that fit no profile become profiles themselves and take part.
+The rounds end only when one changes nothing. A listing without a code joins the one profile of its block that agrees
+with at least one of its attributes, contradicts none and agrees best; several equally good
+profiles are told apart by a patchy group hint (a majority of the hint's listings), or it stays alone. What is left is
+merged as a repeated text.
 
-The series word is learned from the data: the word that occurs with one model base nearly always, in
-most listings of that base, and is no brand.
+Codes and series are learned from the data, no format is given. A code is a run of letters and digits (joined by dashes,
+slashes, underscores or one space) that starts with a letter and is no measure; its base is the code without its last letters. A
+spelling with a lost or an added space counts only if the code, or its base, is also written in one
+piece. The series word of a base is a word that occurs in most listings of the base and nearly only beside codes with the
+same first letters; bases with one series word form one block. Codes of one base that differ in their last letters are variants.
 
 Scale: every round moves distinct attribute sets, not listings (a profile is an aggregate with map-side
-combining); blocks hold the variants of one series, so matching is bounded by the variants. The assignment
-returns to the listings by the hot/cold split. The pairs of a group are emitted in blocks of
+combining). Blocks, codes and hints that hold many sets are cut by the skew join; the fits of a set are counted, not
+collected. The assignment returns to the listings by the same join. The pairs of a group are emitted in blocks of
 ``PAIR_BLOCK`` rows, so no task holds a large group.
 
 Defined cases: null texts read as empty; a null id is ignored; listings without any attribute stay alone
@@ -23,16 +27,17 @@ unless their whole text repeats; repeated ids are paired once; an empty table gi
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomql.operators.skew import hot_cold_join
-from loomql.session import durable
+from loomql.session import durable, stages
 
 from .p2_formatting import canonical
 from .text import fold
 
-ROUNDS = 6
 PAIR_BLOCK = 500
 SERIES_SHARE, SERIES_SUPPORT = 0.9, 0.5
 
@@ -45,10 +50,13 @@ UNITS: dict[str, dict[str, float]] = {
     "length": {"mm": 1, "cm": 10, "m": 1000, "in": 25.4, "inch": 25.4, "inches": 25.4, '"': 25.4},
     "memory": {"gb": 1, "gigabyte": 1, "gigabytes": 1, "mb": 1 / 1024, "tb": 1024},
 }
-# Two letters, four digits, one letter. Two letters after a number are its unit, not the start of a code.
-CODE = r"(?<![0-9][ \u00a0])(?<![0-9])\b([a-z]{2})[-\u2010-\u2015_/ \u00a0]?(\d{4})[-\u2010-\u2015_/ \u00a0]?([a-h])\b"
-# The same where the space before it was lost.
-GLUED = r"(?<=[a-z])([a-z]{2})[-\u2010-\u2015_/]?(\d{4})[-\u2010-\u2015_/]?([a-h])\b"
+PACKS = ("pack", "pcs", "pieces", "piece", "pc")
+DASH = "-‐-―_/"
+_NAMES = "|".join(sorted((n for u in UNITS.values() for n in u), key=len, reverse=True))
+MEASURE = rf"(\d+(?:[.,]\d+)?)\s*-?({_NAMES})(?![a-z0-9])"
+# Runs with a digit in one piece, and short letters with a number after one space.
+RUN = rf"(?<![a-z0-9])(?:[a-z]++[{DASH}]?)++\d[a-z0-9]*+(?:[{DASH}][a-z0-9]++)*+"
+SPACED = rf"(?<![a-z0-9])[a-z]{{1,3}}[  ]\d{{2,}}+(?:[{DASH}  ]?[a-z]{{1,2}}(?![a-z0-9]))?"
 
 
 def _two_digits(value: Column) -> Column:
@@ -57,169 +65,268 @@ def _two_digits(value: Column) -> Column:
     return F.when(value > 0, F.round(value / scale) * scale)
 
 
-def _measure(text: Column, units: dict[str, float]) -> Column:
-    names = sorted(units, key=len, reverse=True)
-    found = r"(\d+(?:[.,]\d+)?)\s*-?(" + "|".join(names) + r")(?![a-z0-9])"
-    number = F.regexp_extract(text, found, 1)
-    unit = F.regexp_extract(text, found, 2)
-    factor = F.element_at(F.create_map(*[x for n, f in units.items() for x in (F.lit(n), F.lit(float(f)))]), unit)
-    value = F.when(number != "", F.replace(number, F.lit(","), F.lit(".")).cast("double") * factor)
-    return _two_digits(value)
+def _pack(text: Column) -> Column:
+    patterns = (r"(\d+)\s*-?\s*(?:" + "|".join(PACKS) + r")\b", r"\bset of (\d+)\b", r"(?<![a-z0-9])x\s?(\d+)\b", r"\bpack\s*[=:]?\s*x?(\d+)\b")
+    return F.coalesce(*[F.nullif(F.regexp_extract(text, p, 1), F.lit("")).cast("double") for p in patterns]).cast("string")
 
 
-def _pack(text: Column) -> Column:
-    patterns = (r"(\d+)\s*-?\s*(?:pack|pcs|pieces?|pc)\b", r"\bset of (\d+)\b", r"(?<![a-z0-9])x\s?(\d+)\b", r"\bpack\s*[=:]?\s*x?(\d+)\b")
-    out = F.lit(None).cast("double")
-    for p in reversed(patterns):
-        found = F.regexp_extract(text, p, 1)
-        out = F.when(found != "", found.cast("double")).otherwise(out)
-    return out
+def _joined(runs: Column) -> Column:
+    """Runs without what joins them."""
+    return F.transform(runs, lambda t: F.regexp_replace(t, "[^a-z0-9]", ""))
 
 
 def read_offers(offers: DataFrame) -> DataFrame:
-    """(id, title, description, brand, price, hint) -> attributes of each listing."""
+    """(id, title, description, brand, price, hint) -> what each listing says, codes still undecided.
+
+    Columns: id, hint, copy (hash of the whole text), maker, runs and spaced (possible codes in order, the title's first),
+    words, labels (words before a number), measures (number, unit), colour, pack.
+    """
     title, desc = fold(F.coalesce("title", F.lit(""))), fold(F.coalesce("description", F.lit("")))
     brand = fold(F.coalesce("brand", F.lit("")))
-    both = F.concat_ws(" . ", title, desc)
     df = offers.where("id is not null").select(
-        F.col("id").cast("string").alias("id"), "hint", title.alias("t"), desc.alias("d"), brand.alias("br"), both.alias("x"),
+        F.col("id").cast("string").alias("id"), "hint", title.alias("t"), desc.alias("d"), brand.alias("br"),
         F.xxhash64(canonical(title), canonical(desc), canonical(fold(F.coalesce("price", F.lit(""))))).alias("copy"),
-    )
-    tries = [(F.col(c), p) for p in (CODE, GLUED) for c in ("t", "d")]
-    code = F.coalesce(
-        *[
-            F.when(F.regexp_extract(c, p, 0) != "", F.concat(*[F.regexp_extract(c, p, g) for g in (1, 2, 3)]))
-            for c, p in tries
-        ],
-        F.lit(""),
-    )
-    base, letter = F.substring(code, 1, 6), F.substring(code, 7, 1)
+    ).withColumn("x", F.concat_ws(" . ", "t", "d"))
     colour_t = F.regexp_extract("t", rf"\b({COLOURS})\b", 1)
     colour_d = F.regexp_extract("d", rf"\bcolou?r\s*[=:]?\s*(?:[a-z]+\s)??({COLOURS})\b", 1)
     colour = F.when(colour_d != "", colour_d).when(colour_t != "", colour_t)
     colour = F.when(colour == "gray", "grey").when(colour == "silvery", "silver").otherwise(colour)
-    plain = F.regexp_replace("x", CODE, " ")
-    specs = {"colour": colour, "pack": _pack(plain).cast("string")}
-    specs |= {k: _measure(plain, u).cast("string") for k, u in UNITS.items()}
-    spec_map = F.map_filter(F.create_map(*[x for k, v in sorted(specs.items()) for x in (F.lit(k), v)]), lambda k, v: v.isNotNull())
     words = F.concat(
         F.regexp_extract_all("t", F.lit(r"[a-z]{5,}"), F.lit(0)),
         F.regexp_extract_all("d", F.lit(r"(?:from the|series\s*[:=]?)\s+([a-z]{5,})"), F.lit(1)),
     )
     own = F.regexp_extract_all("br", F.lit(r"[a-z]{3,}"), F.lit(0))
+    measured = F.transform(
+        F.regexp_extract_all("x", F.lit(MEASURE), F.lit(0)),
+        lambda m: F.struct(F.regexp_extract(m, MEASURE, 1).alias("number"), F.regexp_extract(m, MEASURE, 2).alias("unit")),
+    )
+    size = rf"^x?\d+(?:{_NAMES}|{'|'.join(PACKS)})?$"
     return df.select(
-        "id", "hint", "copy",
-        F.when(base != "", base).alias("base"), F.when(base != "", letter).alias("letter"),
-        F.array_distinct(F.array_except(words, own)).alias("words"), spec_map.alias("specs"),
+        "id", "hint", "copy", F.regexp_extract("br", "[a-z]+", 0).alias("maker"),
+        F.filter(_joined(F.regexp_extract_all("x", F.lit(RUN), F.lit(0))), lambda t: ~t.rlike(size)).alias("runs"),
+        _joined(F.regexp_extract_all("x", F.lit(SPACED), F.lit(0))).alias("spaced"),
+        F.array_distinct(F.array_except(words, own)).alias("words"),
+        F.array_distinct(F.regexp_extract_all("x", F.lit(r"(?<![a-z0-9])([a-z]{4,})\s*[:=]?\s+\d"), F.lit(1))).alias("labels"), measured.alias("measures"), colour.alias("colour"), _pack(F.col("x")).alias("pack"),
     )
 
 
-def _series(read: DataFrame) -> DataFrame:
-    """(word, base): words that name one model base."""
-    coded = read.where("base is not null")
+def _base(code: Column) -> Column:
+    return F.regexp_replace(code, "[a-z]+$", "")
+
+
+def _glued(run: Column) -> Column:
+    """Codes that a run may hold between words that lost their space: up to four letters, the number, up to two letters."""
+    before, number, after = F.regexp_extract(run, r"^([a-z]+)", 1), F.regexp_extract(run, r"^[a-z]+(\d+)", 1), F.regexp_extract(run, r"^[a-z]+\d+([a-z]*)", 1)
+    cuts = F.transform(
+        F.sequence(F.lit(1), F.least(F.lit(4), F.length(before))),
+        lambda n: F.transform(
+            F.sequence(F.lit(0), F.least(F.lit(2), F.length(after))),
+            lambda m: F.concat(F.right(before, n), number, F.left(after, m)),
+        ),
+    )
+    return F.filter(F.flatten(cuts), lambda c: c != run)
+
+
+def _codes(read: DataFrame) -> DataFrame:
+    """(id, code, base): the code of each listing that has one."""
+    runs = read.select("id", "maker", F.posexplode("runs").alias("at", "code"))
+    written = runs.groupBy("code", "maker").agg(F.count(F.lit(1)).alias("n")).groupBy("code").agg(F.sum("n").alias("n"), F.max("n").alias("top"))
+    # a word that lost the space before a number is no code: its letters are frequent as a word of their own
+    plain = read.select(F.explode(F.array_union("words", "labels")).alias("letters")).groupBy("letters").agg(F.count(F.lit(1)).alias("as_word"))
+    written = written.withColumn("letters", F.regexp_extract("code", "^[a-z]+", 0)).join(plain, "letters", "left")
+    written = written.where((2 * F.col("top") > F.col("n")) & (F.coalesce("as_word", F.lit(0)) <= F.col("n")))
+    written = durable(written.select("code", "n", _base(F.col("code")).alias("base")), "written")
+    # a run written once that begins or ends a known code is that code, damaged
+    ends = F.concat(
+        F.transform(F.sequence(F.lit(3), F.length("code") - 1), lambda n: F.left("code", n)),
+        F.transform(F.sequence(F.lit(3), F.length("code") - 1), lambda n: F.right("code", n)),
+    )
+    ends = written.where((F.col("n") >= 2) & (F.length("code") > 3)).select(F.explode(ends).alias("code")).distinct()
+    written = durable(written.where("n > 1").unionByName(written.where("n = 1").join(ends, "code", "left_anti")), "written")
+    bases = written.groupBy("base").agg(F.sum("n").alias("base_n"), F.max(F.col("base") != F.col("code")).alias("varies"))
+    tried = runs.select("id", "at", F.col("code").alias("run"), F.lit(0).alias("kind"), "code")
+    tried = tried.unionByName(
+        read.select("id", F.posexplode("spaced").alias("at", "run")).select("id", "at", "run", F.lit(1).alias("kind"), F.col("run").alias("code"))
+    ).unionByName(
+        runs.where(F.length("code") > 6).select("id", "at", F.col("code").alias("run"), F.lit(2).alias("kind"), F.explode(_glued(F.col("code"))).alias("code"))
+    )
+    tried = durable(tried.withColumn("base", _base(F.col("code"))), "tried")
+    kinds = tried.groupBy("code", "base").agg(F.count(F.lit(1)).alias("uses"))
+    known = durable(
+        kinds.join(written.select("code", "n"), "code", "left").join(bases, "base", "left")
+        .select("code", "uses", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("base_n", F.lit(0)).alias("base_n"), F.coalesce("varies", F.lit(False)).alias("varies")),
+        "known",
+    )
+    met = hot_cold_join(tried, known, ["code"], "uses", "inner")
+    variant = F.length("code") - F.length("base")
+    shared = (F.col("base_n") >= 2) & ((F.col("n") >= 2) | (variant <= 2))
+    rank = (
+        F.when((F.col("kind") == 0) & shared, 0)
+        .when((F.col("kind") == 1) & shared, 1)
+        .when((F.col("kind") == 2) & shared & (F.col("n") > 0), 2)
+        .when((F.col("kind") == 2) & shared, 3)
+        .when((F.col("kind") == 0) & (F.col("n") > 0), 4)
+    )
+    best = met.withColumn("rank", rank).where("rank is not null").groupBy("id").agg(
+        F.min_by(
+            F.struct("code", "base", "varies"),
+            F.struct("rank", -F.when(F.col("kind") == 2, F.col("base_n")).otherwise(0), "at", -F.length("code"), "code"),
+        ).alias("c")
+    )
+    # the bare base of codes that vary tells the block only
+    return best.select("id", F.when((F.col("c.code") != F.col("c.base")) | ~F.col("c.varies"), F.col("c.code")).alias("code"), "c.base")
+
+
+def _has_unit(units: dict[str, float]) -> Callable[[Column], Column]:
+    return lambda m: m["unit"].isin(*units)
+
+
+def _specs() -> Column:
+    """Attributes of a listing whose code is decided; the number and letters of the code are no measure."""
+    own = F.filter("measures", lambda m: ~F.coalesce(F.endswith(F.col("code"), F.concat(m["number"], m["unit"])), F.lit(False)))
+    pairs = {"colour": F.col("colour"), "pack": F.col("pack")}
+    for kind, units in UNITS.items():
+        first = F.get(F.filter(own, _has_unit(units)), F.lit(0))
+        factor = F.element_at(F.create_map(*[x for n, f in units.items() for x in (F.lit(n), F.lit(float(f)))]), first["unit"])
+        pairs[kind] = _two_digits(F.replace(first["number"], F.lit(","), F.lit(".")).cast("double") * factor).cast("string")
+    return F.map_filter(F.create_map(*[x for k, v in sorted(pairs.items()) for x in (F.lit(k), v)]), lambda k, v: v.isNotNull())
+
+
+def _series(read: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(word, block, uses) of series words, (base, block) of the bases that have one."""
+    coded = read.where("base is not null").select("base", "words", F.regexp_extract("base", "^[a-z]+", 0).alias("family"))
     sizes = coded.groupBy("base").agg(F.count(F.lit(1)).alias("offers"))
-    uses = coded.select("base", F.explode("words").alias("word")).groupBy("word", "base").agg(F.count(F.lit(1)).alias("n"))
-    total = uses.groupBy("word").agg(F.sum("n").alias("all"), F.max_by("base", "n").alias("base"), F.max("n").alias("n"))
-    return total.where(F.col("n") >= SERIES_SHARE * F.col("all")).join(sizes, "base").where(
-        F.col("n") >= SERIES_SUPPORT * F.col("offers")
-    ).select("word", "base", F.col("n").alias("uses"))
+    uses = durable(
+        coded.select("base", "family", F.explode("words").alias("word")).groupBy("word", "family", "base").agg(F.count(F.lit(1)).alias("n")), "uses"
+    )
+    total = uses.groupBy("word", "family").agg(F.sum("n").alias("n")).groupBy("word").agg(F.max("n").alias("top"), F.sum("n").alias("all"))
+    total = total.where(F.col("top") >= SERIES_SHARE * F.col("all")).select("word", "top")
+    held = uses.join(total, "word").join(sizes, "base").where(F.col("n") >= SERIES_SUPPORT * F.col("offers"))
+    of_base = durable(held.groupBy("base").agg(F.max_by("word", F.struct("n", "word")).alias("block")), "of_base")
+    of_word = held.join(of_base, "base").groupBy("word").agg(F.max_by("block", F.struct("n", "block")).alias("block"), F.sum("n").alias("uses"))
+    return of_word, of_base
 
 
 def _profiles(members: DataFrame) -> DataFrame:
-    """(base, product, specs, n) of weighted attribute sets -> (base, product, profile): merged attributes."""
-    votes = members.select("base", "product", "n", F.explode("specs").alias("kind", "value"))
-    votes = votes.groupBy("base", "product", "kind", "value").agg(F.sum("n").alias("n"))
-    best = votes.groupBy("base", "product", "kind").agg(F.max_by("value", F.struct("n", "value")).alias("value"))
-    merged = best.groupBy("base", "product").agg(F.map_from_entries(F.collect_list(F.struct("kind", "value"))).alias("profile"))
-    bare = members.select("base", "product").distinct()
+    """(block, product, specs, n) of weighted attribute sets -> (block, product, profile): merged attributes."""
+    votes = members.select("block", "product", "n", F.explode("specs").alias("kind", "value"))
+    votes = votes.groupBy("block", "product", "kind", "value").agg(F.sum("n").alias("n"))
+    best = votes.groupBy("block", "product", "kind").agg(F.max_by("value", F.struct("n", "value")).alias("value"))
+    merged = best.groupBy("block", "product").agg(F.map_from_entries(F.collect_list(F.struct("kind", "value"))).alias("profile"))
+    bare = members.select("block", "product").distinct()
     empty = F.create_map().cast("map<string,string>")
-    return bare.join(merged, ["base", "product"], "left").withColumn("profile", F.coalesce("profile", empty))
+    return bare.join(merged, ["block", "product"], "left").withColumn("profile", F.coalesce("profile", empty))
 
 
-def group(offers: DataFrame) -> DataFrame:
-    """(id, title, description, brand, price, hint) -> (id, product): listings of one product share the label."""
-    read = durable(read_offers(offers), "offers")
-    series = durable(_series(read), "series")
-    uncoded = read.where("base is null").select("id", "words")
-    named = hot_cold_join(uncoded.select("id", F.explode("words").alias("word")), series, ["word"], "uses", "inner")
-    named = named.groupBy("id").agg(F.min("base").alias("found"), F.max("base").alias("other")).where("found = other").select("id", "found")
-    read = durable(
-        read.join(named, "id", "left").withColumn("base", F.coalesce("base", "found")).drop("found", "words")
-        .withColumn("sig", F.to_json(F.map_from_entries(F.array_sort(F.map_entries("specs"))))),
-        "based",
+def _hinted(done: DataFrame) -> DataFrame:
+    """(hint, hinted, hinted_block, w): the product that most listings of a hint belong to."""
+    hints = done.where("hint is not null").groupBy("hint", "block", "product").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("w"))
+    return hints.groupBy("hint").agg(
+        F.max_by("product", F.struct("n", "product")).alias("hinted"), F.max_by("block", F.struct("n", "product")).alias("hinted_block"), F.sum("w").alias("w")
     )
-    coded = F.when(F.col("letter").isNotNull(), F.concat_ws("", "base", "letter"))
-    # distinct attribute sets with their weight: what the rounds work on
-    sets = durable(
-        read.where("base is not null").withColumn("product", coded)
-        .groupBy("base", "product", "sig", "hint").agg(F.first("specs").alias("specs"), F.count(F.lit(1)).alias("n")),
-        "sets",
-    )
-    done, alone = sets.where("product is not null"), sets.where("product is null")
-    for _ in range(ROUNDS):
-        profiles = durable(_profiles(done), "profiles")
-        hints = done.where("hint is not null").groupBy("hint", "product").agg(F.sum("n").alias("n"))
-        hints = hints.groupBy("hint").agg(F.max_by("product", F.struct("n", "product")).alias("hinted"))
-        tried = alone.join(profiles.withColumnRenamed("product", "p"), "base")
-        keys = F.map_keys("specs")
-        same = F.size(F.filter(keys, lambda k: F.element_at("profile", k) == F.element_at("specs", k)))
-        clash = F.size(F.filter(keys, lambda k: F.element_at("profile", k) != F.element_at("specs", k)))
-        tried = tried.withColumn("same", same).withColumn("clash", clash).where("clash = 0 and same > 0")
-        tried = tried.join(hints, "hint", "left")
-        best = tried.groupBy("base", "sig", "hint").agg(
-            F.max("same").alias("top"), F.collect_list(F.struct("same", "p")).alias("fits"), F.first("hinted").alias("hinted")
-        )
-        fits = F.transform(F.filter("fits", lambda x: x["same"] == F.col("top")), lambda x: x["p"])
-        all_fits = F.transform("fits", lambda x: x["p"])
-        choice = F.when(F.size(fits) == 1, F.get(fits, F.lit(0))).when(F.array_contains(all_fits, F.col("hinted")), F.col("hinted"))
-        won = best.select("base", "sig", F.coalesce("hint", F.lit("")).alias("h"), choice.alias("won")).where("won is not null")
-        alone = alone.withColumn("h", F.coalesce("hint", F.lit(""))).join(won, ["base", "sig", "h"], "left").drop("h")
-        alone = durable(alone, "round")
-        gained = alone.where("won is not null").drop("product").withColumnRenamed("won", "product")
-        if gained.isEmpty():
-            break
-        done = durable(done.unionByName(gained.select(*done.columns)), "done")
-        alone = alone.where("won is null").drop("won")
-    # complete attribute sets that fit no profile are products of their own
+
+
+def _matched(alone: DataFrame, done: DataFrame, profiles: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(set, in_block, won): the attribute sets that join a profile in this round.
+
+    ``sizes``: (block, n) of all sets, by which blocks with many sets are cut.
+    """
+    hints = _hinted(done.join(alone.where("hint is not null").select("hint").distinct(), "hint", "left_semi"))
+    named = hot_cold_join(alone.where("hint is not null"), durable(hints, "hints"), ["hint"], "w", "left")
+    named = named.unionByName(alone.where("hint is null"), allowMissingColumns=True)
+    asked = named.withColumn("block", F.coalesce("block", "hinted_block")).where("block is not null")
+    tried = hot_cold_join(asked, profiles.withColumnRenamed("product", "p"), ["block"], sizes, "inner")
+    keys = F.map_keys("specs")
+    same = F.size(F.filter(keys, lambda k: F.element_at("profile", k) == F.element_at("specs", k)))
+    clash = F.size(F.filter(keys, lambda k: F.element_at("profile", k) != F.element_at("specs", k)))
+    fits = tried.withColumn("same", same).where((clash == 0) & (F.col("same") > 0))
+    # how many profiles fit equally well, counted per set and degree
+    level = fits.groupBy("set", "block", "hinted", "same").agg(F.count(F.lit(1)).alias("many"), F.min("p").alias("p"), F.max(F.col("p") == F.col("hinted")).alias("as_hinted"))
+    best = level.groupBy("set", "block", "hinted").agg(F.max_by(F.struct("many", "p"), "same").alias("top"), F.max("as_hinted").alias("as_hinted"))
+    won = F.when(F.col("top.many") == 1, F.col("top.p")).when(F.col("as_hinted"), F.col("hinted"))
+    return best.select("set", F.col("block").alias("in_block"), won.alias("won")).where("won is not null")
+
+
+def _complete(alone: DataFrame, profiles: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(set, won): sets that have every kind which half the products of their block have; each is a product of its own."""
+    products = profiles.groupBy("block").agg(F.count(F.lit(1)).alias("products"))
     kinds = (
-        _profiles(done).select("base", "product", F.explode(F.map_keys("profile")).alias("kind"))
-        .groupBy("base", "kind").agg(F.count_distinct("product").alias("with_kind"))
-        .join(done.groupBy("base").agg(F.count_distinct("product").alias("products")), "base")
-        .where("2 * with_kind >= products").groupBy("base").agg(F.collect_set("kind").alias("kinds"))
-    )
-    rest = alone.drop("won").join(kinds, "base", "left")
-    complete = F.size(F.array_except(F.coalesce("kinds", F.array().cast("array<string>")), F.map_keys("specs"))) == 0
-    rest = rest.withColumn(
-        "product", F.when(complete & F.col("kinds").isNotNull(), F.concat_ws("|", "base", "sig"))
+        profiles.select("block", F.explode(F.map_keys("profile")).alias("kind")).groupBy("block", "kind").agg(F.count(F.lit(1)).alias("with_kind"))
+        .join(products, "block").where("2 * with_kind >= products").groupBy("block").agg(F.collect_set("kind").alias("kinds"))
     )
-    direct = read.where("letter is not null").select("id", coded.alias("product"))
-    free = read.where("letter is null").withColumn("h", F.coalesce("hint", F.lit(""))).withColumn("b", F.coalesce("base", F.lit("")))
-    # an attribute set can be both of coded listings and of listings assigned by a round: take the assignment
-    assigned = _assigned(sets, done, rest)
-    by_set = hot_cold_join(
-        free.select("id", "copy", "b", "sig", "h"), durable(assigned, "assigned"), ["b", "sig", "h"], "n", "left"
+    rest = hot_cold_join(alone.where("block is not null"), kinds, ["block"], sizes, "inner")
+    return rest.where(F.size(F.array_except("kinds", F.map_keys("specs"))) == 0).select(
+        "set", F.col("block").alias("in_block"), F.concat_ws("|", "block", "sig").alias("won")
     )
-    text = F.concat(F.lit("text|"), F.col("b"), F.lit("|"), F.col("copy").cast("string"))
-    return direct.unionByName(by_set.select("id", F.coalesce("product", text).alias("product")))
 
 
-def _assigned(sets: DataFrame, done: DataFrame, rest: DataFrame) -> DataFrame:
-    """(b, sig, h, product, n) of the attribute sets that came without a code."""
-    key = [F.col("base").alias("b"), "sig", F.coalesce("hint", F.lit("")).alias("h")]
-    uncoded = sets.where("product is null").select(*key, "n")
-    coded = sets.where("product is not null").select(*key, F.col("product"), F.lit(1).alias("was"))
-    labelled = done.select(*key, "product").unionByName(rest.where("product is not null").select(*key, "product")).distinct()
-    gained = labelled.join(coded, ["b", "sig", "h", "product"], "left").select("b", "sig", "h", "product", "was")
-    picked = gained.groupBy("b", "sig", "h").agg(F.min_by("product", F.struct(F.coalesce("was", F.lit(0)), "product")).alias("product"))
-    return uncoded.join(picked, ["b", "sig", "h"], "left").select("b", "sig", "h", "product", "n")
+def resolve(sets: DataFrame) -> DataFrame:
+    """(set, block, product, sig, hint, specs, n) -> (set, product): sets that had no product and were given one.
+
+    Merges until a round changes nothing. ``sets`` is a durable table with a unique ``set``.
+    """
+    open_ = sets.where("product is null")
+    coded = sets.where("product is not null and block is not null").select("block", "product", "hint", "specs", "n")
+    given = open_.limit(0).select("set", F.col("block").alias("in_block"), F.col("product").alias("won"))
+    with stages(sets.sparkSession) as scope:
+        sizes = durable(sets.where("block is not null").groupBy("block").agg(F.count(F.lit(1)).alias("n")), "sizes")
+        while True:
+            alone = open_.join(given.select("set"), "set", "left_anti")
+            done = open_.drop("block", "product").join(given, "set").select(F.col("in_block").alias("block"), F.col("won").alias("product"), "hint", "specs", "n")
+            done = coded.unionByName(done)
+            profiles = durable(_profiles(done), "profiles")
+            won = durable(_matched(alone, done, profiles, sizes), "won")
+            if won.isEmpty():
+                won = durable(_complete(alone, profiles, sizes), "won")
+                if won.isEmpty():
+                    break
+            given = given.unionByName(won)
+        scope.keep(given)
+    return given.select("set", F.col("won").alias("product"))
+
+
+def group(offers: DataFrame) -> DataFrame:
+    """(id, title, description, brand, price, hint) -> (id, product): listings of one product share the label."""
+    with stages(offers.sparkSession) as scope:
+        read = durable(read_offers(offers), "offers")
+        read = durable(read.join(_codes(read), "id", "left").withColumn("specs", _specs()).drop("runs", "spaced", "measures", "colour", "pack", "maker", "labels"), "coded")
+        of_word, of_base = _series(read)
+        of_word = durable(of_word, "series")
+        uncoded = read.where("base is null").select("id", F.explode("words").alias("word"))
+        named = hot_cold_join(uncoded, of_word, ["word"], "uses", "inner")
+        named = named.groupBy("id").agg(F.min("block").alias("found"), F.max("block").alias("other")).where("found = other").select("id", "found")
+        sizes = read.where("base is not null").groupBy("base").agg(F.count(F.lit(1)).alias("w"))
+        read = hot_cold_join(read, durable(sizes.join(of_base, "base", "left"), "bases"), ["base"], "w", "left").join(named, "id", "left")
+        read = durable(
+            read.withColumn("block", F.coalesce("block", "base", "found")).drop("found", "words")
+            .withColumn("sig", F.to_json(F.map_from_entries(F.array_sort(F.map_entries("specs"))))).withColumnRenamed("code", "product"),
+            "based",
+        )
+        # distinct attribute sets with their weight: what the rounds work on; null parts are named so that the sets can be met again
+        keys = {"b": F.coalesce("block", F.lit("")), "p": F.coalesce("product", F.lit("")), "h": F.coalesce(F.concat(F.lit("h"), "hint"), F.lit(""))}
+        read = read.withColumns(keys)
+        sets = read.groupBy("b", "p", "sig", "h").agg(
+            F.first("specs").alias("specs"), F.count(F.lit(1)).alias("n"), F.first("block").alias("block"), F.first("product").alias("product"), F.first("hint").alias("hint")
+        ).withColumn("set", F.monotonically_increasing_id())
+        sets = durable(sets, "sets")
+        given = resolve(sets.select("set", "block", "product", "sig", "hint", "specs", "n"))
+        assigned = durable(
+            sets.where("product is null").join(given.withColumnRenamed("product", "won"), "set").select("b", "sig", "h", "n", "won"), "assigned"
+        )
+        free = hot_cold_join(read.where("product is null").select("id", "copy", "b", "sig", "h"), assigned, ["b", "sig", "h"], "n", "left")
+        text = F.concat(F.lit("text|"), F.col("b"), F.lit("|"), F.col("copy").cast("string"))
+        out = read.where("product is not null").select("id", "product").unionByName(free.select("id", F.coalesce("won", text).alias("product")))
+        out = durable(out, "grouped")
+        scope.keep(out)
+        return out
 
 
 def pairs(groups: DataFrame, block: int = PAIR_BLOCK) -> DataFrame:
     """(id, product) -> (id_a, id_b), id_a < id_b: all pairs of each group, block by block."""
-    rows = durable(groups.distinct(), "grouped")
+    rows = durable(groups.distinct(), "members")
     sizes = rows.groupBy("product").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     sizes = durable(sizes.withColumn("blocks", F.ceil(F.col("n") / block).cast("int")), "sizes")
-    rows = hot_cold_join(rows, sizes.withColumn("w", F.col("n")), ["product"], "w", "inner")
+    rows = hot_cold_join(rows, sizes, ["product"], "n", "inner")
     rows = rows.withColumn("at", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
     spread = rows.select("id", "product", "at", F.explode(every).alias("o")).select(

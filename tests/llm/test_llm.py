@@ -154,6 +154,34 @@ def test_p3_cases(spark):
     assert {(0, 1), (0, 2), (1, 2), (3, 4), (7, 8)} == got
 
 
+def p3_pairs(spark, titles):
+    rows = [(t, None, "Acme", None, None, 1) for t in titles]
+    return {(int(r.id_a), int(r.id_b)) for r in p3.pairs(p3.group(offers(spark, rows))).collect()}
+
+
+def test_p3_codes_of_any_format(spark):
+    got = p3_pairs(spark, ["Acme Zolivaro XR-120 kettle 1.7 L", "zolivaro xr120 electric kettle", "ACME XR 120 kettle Red", "Acme Zolivaro XR-130 kettle 1.7 L", "Acme XR_130 Zolivaro"])
+    assert got == {(0, 1), (0, 2), (1, 2), (3, 4)}
+    assert p3_pairs(spark, ["Acme WH-1000XM4 headphones", "Acme wh1000xm4 headset", "Acme WH-1000XM5 headphones"]) == {(0, 1)}
+
+
+def test_p3_lost_spaces_and_damaged_codes(spark):
+    whole = ["Acme Zolivaro KC-6852/C kettle Red", "Acme Zolivaro kc6852c kettle", "Acme Zolivaro KC-6852/D kettle Blue"]
+    assert p3_pairs(spark, [*whole, "AcmeKC6852C kettle", "Acme kc-6852ckettle", "Zolivaro KC-68'52 kettle red"]) == set(itertools.combinations([0, 1, 3, 4, 5], 2))
+
+
+def test_p3_rounds_until_nothing_changes(spark):
+    """Each listing is reached only by what the one before it added to the profile."""
+    titles = ["Acme Zolivaro QX-2000/A kettle Red 1 L", "Acme Zolivaro QX-2000/B kettle Blue 2 L 900 W"]
+    chain = ["Zolivaro kettle Red 800 g", "Zolivaro kettle 800 g 1500 W", "Zolivaro kettle 1500 W 25 cm", "Zolivaro kettle 25 cm 64 GB", "Zolivaro kettle 64 GB 3-pack", "Zolivaro kettle 3-pack", "Zolivaro kettle Green 800 g"]
+    assert p3_pairs(spark, titles + chain) == set(itertools.combinations([0, *range(2, 8)], 2))
+
+
+def test_p3_a_hint_blocks_what_names_no_series(spark):
+    rows = [("Acme Zolivaro AB-1234/C kettle Red", None, "Acme", None, "h", 1), ("Zolivaro ab1234c kettle", None, "Acme", None, "h", 1), ("kettle of good make red", None, None, None, "h", 1), ("kettle of good make red", "other", None, None, None, 1)]
+    assert {(r.id_a, r.id_b) for r in p3.pairs(p3.group(offers(spark, rows))).collect()} == {("0", "1"), ("0", "2"), ("1", "2")}
+
+
 def test_p3_empty(spark):
     assert p3.pairs(p3.group(offers(spark, P3_ROWS).limit(0))).count() == 0
 

@@ -42,6 +42,18 @@ def test_cases(spark):
         assert got.get(i) == want, raw
 
 
+def test_the_column_decides_what_splits(spark):
+    """A value known from quoted fields keeps its delimiter where it is written without quotes."""
+    known = ['"Mora / Tisk", Crime', '"Mora / Tisk"|War', 'War,"Mora / Tisk"', '"Velt; Anders"/War'] * 6
+    raws = known + ["Mora / Tisk, War", "Velt; Anders", "Drama / War", "Crime; War"] + ["Drama/Crime", "Drama, War", "Crime|War"] * 30
+    got = run(spark, raws)
+    at = len(known)
+    assert [got[at + i] for i in range(4)] == [["Mora / Tisk", "War"], ["Velt; Anders"], ["Drama", "War"], ["Crime", "War"]]
+    # without the quoted fields the same strings split
+    got = run(spark, raws[at:])
+    assert got[0] == ["Mora", "Tisk", "War"] and got[1] == ["Velt", "Anders"]
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "tbl string, fld string, row_key string, raw string, extra int")
     assert unpack(df).count() == 0

@@ -1,20 +1,18 @@
 """Records that are equal but for formatting, collapsed by dictionary encoding.
 
-Each column is encoded through a dictionary: every distinct value is canonicalised once and
-gets an integer identifier that depends only on the field and the canonical form, so
-identifiers agree between runs, tables and recomputed tasks without a numbering pass. A record becomes
-the sorted tuple of its (field, value) integers; absent and null fields take no place in it,
-so null equals only null. Records are grouped by the compact tuple (its 128-bit digest).
+Every column, and every named field of a text line, is encoded through one dictionary: each distinct value is canonicalised
+once, and each distinct canonical value of a field gets an integer of its own, assigned and written once. A record becomes
+the sorted tuple of its integers; absent and null fields take no place in it, so null equals only
+null. Records are grouped by a 128-bit digest of the compact tuple; where a digest repeats, the tuples themselves are grouped.
 
 Canonical form: letters and digits only, in order, case disregarded; a point directly between two
-digits stays.
+digits stays. Values that are no strings count as written.
 
-Scale. Columns whose distinct values are few (measured, over all rows) are encoded with a broadcast
-dictionary whose size is bounded by ``DICTIONARY_ROWS``; in columns that hardly repeat, a dictionary would be the
-column again, so their values are canonicalised where they are read, without a shuffle. Groups are
-pre-aggregated before the shuffle to (digest, smallest key, copies); only digests with copies
-return to the rows, the heaviest by broadcast (at most 1000 can hold a thousandth of all rows each),
-the others by a shuffle in which no key is heavy.
+Scale. The dictionary is built by one aggregate over all fields (map-side combined). It returns to the rows field by
+field: a field's part is broadcast while it holds at most ``BROADCAST_ROWS`` short values, and joined by a shuffle that cuts
+hot values and spreads nulls beyond that; the identifiers are the same either way. Groups are pre-aggregated before the shuffle
+to (digest, smallest key, copies); only rows of digests with copies are grouped by their tuples, and no set of copies is gathered:
+the smallest key returns to its rows by the skew join.
 
 Defined cases: rows with a null key are left out of the result (they cannot be named); a repeated key
 counts as a further copy; a record whose fields are all null equals any other such record;
@@ -29,10 +27,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomql.operators.skew import hot_cold_join
-from loomql.session import durable
+from loomql.session import durable, stages
 
-DICTIONARY_ROWS = 50_000
-MAX_DICTIONARY_LENGTH = 200
+BROADCAST_ROWS = 50_000
+BROADCAST_CHARACTERS = 4_000_000
 
 
 def canonical(c: Column) -> Column:
@@ -41,44 +39,44 @@ def canonical(c: Column) -> Column:
     return F.regexp_replace(folded, r"[^\p{L}\p{N}.]++|(?<!\p{N})\.|\.(?!\p{N})", "")
 
 
-def identifier(field: Column, canon: Column) -> Column:
-    """64-bit identifier of a canonical value in a field; null for a null value."""
-    return F.when(canon.isNotNull(), F.xxhash64(field, canon))
+def dictionary(values: DataFrame) -> DataFrame:
+    """(fld, val, canon) of all fields, as often as they occur -> (fld, val, n, vid), one row per distinct (fld, val).
+
+    ``canon`` is a function of ``val`` and the same for all values of a field. ``vid`` is one integer per distinct
+    (field, canonical form): a running number, so that two forms never share one.
+    """
+    found = durable(values.where("val is not null").groupBy("fld", "val").agg(F.count(F.lit(1)).alias("n"), F.max("as_is").alias("as_is")), "values")
+    found = durable(found.select("fld", "val", "n", F.when(F.col("as_is"), F.col("val")).otherwise(canonical(F.col("val"))).alias("canon")), "canonical")
+    forms = found.groupBy("fld", "canon").agg(F.count(F.lit(1)).alias("spellings")).withColumn("vid", F.monotonically_increasing_id())
+    return hot_cold_join(found, durable(forms, "forms"), ["fld", "canon"], "spellings", "inner").select("fld", "val", "n", "vid")
 
 
 def _digest(ids: Column) -> list[Column]:
-    """Two independent 64-bit digests of a sorted tuple."""
+    """Two 64-bit digests of a sorted tuple."""
     return [F.xxhash64(F.lit(1), ids).alias("d1"), F.xxhash64(F.lit(2), ids).alias("d2")]
 
 
-def encode_columns(df: DataFrame, key: str, fields: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
-    """(key, d1, d2): the digest of each record's sorted (field, value) integers."""
-    strings = [f for f in fields if dict(df.dtypes)[f] == "string"]
-    counts = df.agg(*[F.approx_count_distinct(f).alias(f) for f in strings], *[F.max(F.length(f)).alias(f"{f}_len") for f in strings]).first()
-    budget, small = DICTIONARY_ROWS, []
-    for f in sorted(strings, key=lambda f: counts[f]):
-        if (counts[f"{f}_len"] or 0) <= MAX_DICTIONARY_LENGTH and counts[f] <= budget:
-            small.append(f)
-            budget -= counts[f]
-    out = df.select(F.col(key).cast("string").alias("_key"), *fields)
-    if small:
-        # one pass over the table for all small columns; partial aggregation leaves few pairs to shuffle
-        pairs = df.select(F.explode(F.array(*[F.struct(F.lit(f).alias("fld"), F.col(f).alias("val")) for f in small])).alias("p"))
-        entries = (
-            pairs.select("p.fld", "p.val").where(F.col("val").isNotNull()).distinct()
-            .withColumn("vid", identifier(F.col("fld"), canonical(F.col("val"))))
-        )
-        entries = durable(entries, "dictionary")
-        for f in small:
-            part = entries.where(F.col("fld") == f).select(F.col("val").alias(f), F.col("vid").alias(f"_{f}"))
-            out = out.join(F.broadcast(part), f, "left")
-    ids = [
-        F.col(f"_{f}") if f in small
-        else identifier(F.lit(f), canonical(F.col(f)) if f in strings else F.col(f).cast("string"))
-        for f in fields
-    ]
-    packed = F.array_compact(F.array(*ids))
-    return out.select(F.col("_key").alias("key"), F.sort_array(packed).alias("ids")).select("key", *_digest(F.col("ids")))
+def encode_columns(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """(key, ids): the sorted (field, value) integers of each record."""
+    kinds = dict(df.dtypes)
+    out = df.select(F.col(key).cast("string").alias("_key"), *[F.col(f).cast("string").alias(f"_v{i}") for i, f in enumerate(fields)])
+    with stages(df.sparkSession) as scope:
+        cells = F.array(*[F.struct(F.lit(i).alias("fld"), F.col(f"_v{i}").alias("val"), F.lit(kinds[f] != "string").alias("as_is")) for i, f in enumerate(fields)])
+        words = durable(dictionary(out.select(F.explode(cells).alias("c")).select("c.*")), "dictionary")
+        scope.keep(words)
+    sizes = {r[0]: r[1:] for r in words.groupBy("fld").agg(F.count(F.lit(1)), F.sum(F.length("val"))).collect()}  # one row per field
+    budget, room = BROADCAST_ROWS, BROADCAST_CHARACTERS
+    # small fields first, so that wide rows are shuffled only with integers in place of their values
+    for i in sorted(range(len(fields)), key=lambda i: sizes.get(i, (0, 0))):
+        rows, characters = sizes.get(i, (0, 0))
+        part = words.where(F.col("fld") == i).select(F.col("val").alias(f"_v{i}"), "n", F.col("vid").alias(f"_i{i}"))
+        if rows <= budget and characters <= room:
+            budget, room = budget - rows, room - characters
+            out = out.join(F.broadcast(part.drop("n")), f"_v{i}", "left").drop(f"_v{i}")
+        else:
+            out = hot_cold_join(out, part, [f"_v{i}"], "n", "left").drop(f"_v{i}")
+    ids = F.array_compact(F.array(*[F.col(f"_i{i}") for i in range(len(fields))]))
+    return out.select(F.col("_key").alias("key"), F.sort_array(ids).alias("ids"))
 
 
 # key = value notations of a line: JSON object, tagged, and two separator styles.
@@ -113,28 +111,32 @@ def named_fields(line: Column) -> Column:
 
 
 def encode_lines(df: DataFrame, key: str, line: str) -> DataFrame:
-    """(key, d1, d2) of text lines with named fields in any order and notation."""
-    ids = F.transform(
-        named_fields(F.col(line)),
-        lambda e: identifier(canonical(e["k"]), canonical(e["v"])),
-    )
-    return df.select(F.col(key).cast("string").alias("key"), F.sort_array(F.array_compact(ids)).alias("ids")).select(
-        "key", *_digest(F.col("ids"))
-    )
+    """(key, ids) of text lines with named fields in any order and notation."""
+    with stages(df.sparkSession) as scope:
+        lines = df.select(F.col(key).cast("string").alias("key"), F.monotonically_increasing_id().alias("row"), named_fields(F.col(line)).alias("pairs"))
+        lines = durable(lines, "lines")
+        cells = durable(
+            lines.select("row", F.explode("pairs").alias("p")).select("row", canonical(F.col("p.k")).alias("fld"), F.col("p.v").alias("val")), "cells"
+        )
+        words = durable(dictionary(cells.select("fld", "val", F.lit(False).alias("as_is"))), "dictionary")
+        met = hot_cold_join(cells, words, ["fld", "val"], "n", "inner").groupBy("row").agg(F.sort_array(F.collect_list("vid")).alias("ids"))
+        out = lines.join(met, "row", "left").select("key", F.coalesce("ids", F.array().cast("array<bigint>")).alias("ids"))
+        out = durable(out, "tuples")
+        scope.keep(out)
+    return out
 
 
 def collapse(encoded: dict[str, DataFrame]) -> DataFrame:
     """(tbl, first_key, copy_key): each record that is a copy, with the smallest key of its set.
 
-    Keys compare as strings. ``encoded``: table name -> (key, d1, d2).
+    Keys compare as strings. ``encoded``: table name -> (key, ids).
     """
-    parts = [df.select(F.lit(t).alias("tbl"), "key", "d1", "d2") for t, df in encoded.items()]
+    parts = [df.select(F.lit(t).alias("tbl"), "key", "ids", *_digest(F.col("ids"))) for t, df in encoded.items()]
     rows = durable(reduce(DataFrame.unionByName, parts).where(F.col("key").isNotNull()), "encoded")
-    groups = (
-        rows.groupBy("tbl", "d1", "d2")
-        .agg(F.min("key").alias("first_key"), F.count(F.lit(1)).alias("copies"))
-        .where(F.col("copies") > 1)
-    )
-    groups = durable(groups, "groups")
-    copies = hot_cold_join(rows, groups, ["tbl", "d1", "d2"], "copies", "inner")
+    repeated = rows.groupBy("tbl", "d1", "d2").agg(F.count(F.lit(1)).alias("copies")).where(F.col("copies") > 1)
+    # equal digests are not yet equal records: the few rows concerned are grouped by the tuples themselves
+    alike = hot_cold_join(rows, durable(repeated, "repeated"), ["tbl", "d1", "d2"], "copies", "inner").select("tbl", "key", "ids")
+    alike = durable(alike, "alike")
+    groups = alike.groupBy("tbl", "ids").agg(F.min("key").alias("first_key"), F.count(F.lit(1)).alias("copies")).where(F.col("copies") > 1)
+    copies = hot_cold_join(alike, durable(groups, "groups"), ["tbl", "ids"], "copies", "inner")
     return copies.where(F.col("key") != F.col("first_key")).select("tbl", "first_key", F.col("key").alias("copy_key"))

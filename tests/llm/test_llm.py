@@ -105,11 +105,29 @@ def test_p2_cases(spark):
     assert got == [("t", "1", "2"), ("t", "1", "3"), ("t", "5", "7"), ("t", "8", "9")]
 
 
-def test_p2_large_columns_need_no_dictionary(spark, monkeypatch):
-    df = spark.createDataFrame([(str(i), f"V {i % 7}") for i in range(50)], "k string, a string")
-    want = sorted(map(tuple, p2.collapse({"t": p2.encode_columns(df, "k", ["a"])}).collect()))
-    monkeypatch.setattr(p2, "DICTIONARY_ROWS", 0)
-    assert sorted(map(tuple, p2.collapse({"t": p2.encode_columns(df, "k", ["a"])}).collect())) == want and len(want) == 43
+@pytest.mark.parametrize("rows", [0, 50_000])
+def test_p2_broadcast_or_shuffle_gives_the_same(spark, monkeypatch, rows):
+    df = spark.createDataFrame([(str(i), f"V {i % 7}" if i % 5 else None, i % 3) for i in range(50)], "k string, a string, b int")
+    monkeypatch.setattr(p2, "BROADCAST_ROWS", rows)
+    got = sorted(map(tuple, p2.collapse({"t": p2.encode_columns(df, "k", ["a", "b"])}).collect()))
+    first = {}
+    for k, a, b in sorted(map(tuple, df.collect())):
+        first.setdefault((a, b), k)
+    want = sorted(("t", first[a, b], k) for k, a, b in map(tuple, df.collect()) if first[a, b] != k)
+    assert got == want
+
+
+def test_p2_equal_digests_are_told_apart(spark, monkeypatch):
+    df = spark.createDataFrame([("1", "x"), ("2", "X."), ("3", "y"), ("4", "z")], "k string, a string")
+    monkeypatch.setattr(p2, "_digest", lambda ids: [F.lit(1).alias("d1"), F.lit(2).alias("d2")])
+    assert [tuple(r) for r in p2.collapse({"t": p2.encode_columns(df, "k", ["a"])}).collect()] == [("t", "1", "2")]
+
+
+def test_p2_values_have_integers_of_their_own(spark):
+    cells = spark.createDataFrame([("f", "A-1", False), ("f", "a1", False), ("f", "a1", False), ("g", "a1", False), ("f", "-1", True), ("f", "1", True), ("f", None, False)], "fld string, val string, as_is boolean")
+    got = {(r.fld, r.val): (r.n, r.vid) for r in p2.dictionary(cells).collect()}
+    assert got["f", "A-1"][1] == got["f", "a1"][1] and got["f", "a1"][0] == 2
+    assert len({v for _, v in got.values()}) == 4
 
 
 def test_p2_lines(spark):

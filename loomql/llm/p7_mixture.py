@@ -1,13 +1,14 @@
 """Sources mixed to target weights by Poisson replication.
 
 Each distinct text gets a uniform number from the hash of its content (4096 levels) and is taken as often as the
-inverse of a Poisson distribution says there, at most ``max_repeats`` times. The mean of the
-distribution is the target repetition rate of its source, calibrated on the realised draw: the tokens per
-source and level (a table bounded by sources x levels) give the exact size of the mixture for any mean, and the mean
-whose realised size is nearest to the target is taken. The chosen texts are exploded by their
-counts and shuffled globally by a hash.
-
-Size: the largest mixture in which every source that has texts reaches its share within its repeats. A source
+inverse of a Poisson distribution says there, at most ``max_repeats`` times. The mean of the capped
+distribution is the target repetition rate of its source: tokens wanted over tokens at hand. What the draw then misses by
+chance is settled by shifting the uniform numbers of the source a little (round the circle, so that they stay uniform):
+the tokens per source and level, a table bounded by sources x levels, give the exact size of the mixture for
+any shift, and the smallest of the best shifts is taken. The chosen texts are exploded by their counts and shuffled globally by a hash.
+
+Size: the largest mixture in which every source that has texts reaches its share within its repeats. The source that binds
+is taken whole at its cap (a rate equal to the cap leaves nothing to draw). A source
 without texts reaches nothing; the others keep their shares relative to each other.
 
 Copies: a text is its content. Rows with the same text count once, under the smallest doc_id and that row's
@@ -25,6 +26,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,36 +36,58 @@ from .tokens import VOCABULARY, token_counter
 
 LEVELS = 4096
 SEED = 20
-MAX_SOURCES = 10_000
-MAX_REPEATS = 64
+MAX_SOURCES = 1000
 
 
-def thresholds(mean: float, cap: int) -> list[float]:
-    """Level above which a text is taken at least k times, for k = 1..cap: P(X <= k - 1)."""
-    term, total, out = math.exp(-mean), 0.0, []
+def capped_mean(mean: float, cap: int) -> float:
+    """Expectation of min(X, cap) for a Poisson X: the sum over k < cap of P(X > k)."""
+    if mean > cap + 40 + 12 * math.sqrt(cap):
+        return float(cap)
+    total, out = 0.0, 0.0
     for k in range(cap):
-        total += term
-        out.append(min(total, 1.0))
-        term *= mean / (k + 1)
+        total += _mass(mean, k)
+        out += 1.0 - min(total, 1.0)
+        if k > mean and 1.0 - total < 1e-12:
+            break
     return out
 
 
-def _drawn(by_level: dict[int, int], mean: float, cap: int) -> int:
-    """Tokens that a mean realises."""
-    cuts = thresholds(mean, cap)
-    return sum(n * sum((b + 0.5) / LEVELS >= c for c in cuts) for b, n in by_level.items())
+def _mass(mean: float, k: int) -> float:
+    return math.exp(k * math.log(mean) - mean - math.lgamma(k + 1)) if mean > 0 else float(k == 0)
 
 
-def calibrate(by_level: dict[int, int], target: float, cap: int) -> float:
-    """Mean whose realised tokens are nearest to ``target``; the realised size grows with the mean."""
+def mean_for(rate: float, cap: int) -> float:
+    """Mean of the Poisson distribution whose capped expectation is ``rate``; infinite where the cap itself is asked for."""
+    if rate >= cap * (1 - 1e-12):
+        return math.inf if cap else 0.0
     low, high = 0.0, float(cap) + 40.0 + 12 * math.sqrt(cap)
-    for _ in range(60):
+    for _ in range(80):
         middle = (low + high) / 2
-        if _drawn(by_level, middle, cap) < target:
-            low = middle
-        else:
-            high = middle
-    return min((low, high), key=lambda m: (abs(_drawn(by_level, m, cap) - target), m))
+        low, high = (middle, high) if capped_mean(middle, cap) < rate else (low, middle)
+    return (low + high) / 2
+
+
+def draws(mean: float, cap: int) -> list[int]:
+    """Inverse of the capped Poisson distribution at the middle of each level; grows with the level."""
+    if math.isinf(mean):
+        return [cap] * LEVELS
+    out, k, total = [], 0, _mass(mean, 0)
+    for level in range(LEVELS):
+        while k < cap and (level + 0.5) / LEVELS >= total:
+            k += 1
+            total += _mass(mean, k)
+        out.append(k)
+    return out
+
+
+def settle(by_level: dict[int, int], times: list[int], target: float) -> int:
+    """The shift of the levels, round the circle, whose tokens are nearest to ``target``; the smallest of equal ones."""
+    tokens = np.zeros(LEVELS)
+    for level, n in by_level.items():
+        tokens[level] = n
+    # all shifts at once: a circular correlation
+    sizes = np.fft.irfft(np.fft.rfft(np.asarray(times, dtype=float)) * np.conj(np.fft.rfft(tokens)), LEVELS)
+    return int(np.argmin(np.round(np.abs(sizes - target))))
 
 
 def _content(text: str) -> list[Column]:
@@ -91,12 +115,12 @@ def texts_of(docs: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY)
 
 
 def plan(texts: DataFrame, targets: DataFrame) -> list[dict]:
-    """Per target source: share, repeats, tokens at hand, size of its part and calibrated mean."""
+    """Per target source: share, repeats, tokens at hand, size of its part, rate, mean and times by level."""
     wanted: dict[str, dict] = {}
     for r in targets.select("source", "target_share", "max_repeats").where("source is not null").orderBy(
         "source", F.desc_nulls_last("target_share"), F.desc_nulls_last("max_repeats")
     ).collect():
-        cap = 1 if r[2] is None else max(0, min(int(r[2]), MAX_REPEATS))
+        cap = 1 if r[2] is None else max(0, int(r[2]))
         wanted.setdefault(r[0], {"source": r[0], "share": float(r[1] or 0.0), "cap": cap, "levels": {}})
     # bounded by sources x levels, whatever the number of texts
     for r in texts.groupBy("source", "level").agg(F.sum("n_tokens").alias("n")).collect():
@@ -106,38 +130,34 @@ def plan(texts: DataFrame, targets: DataFrame) -> list[dict]:
     able = [w for w in wanted.values() if w["share"] > 0 and w["cap"] > 0 and w["at_hand"] > 0]
     size = min((w["cap"] * w["at_hand"] / w["share"] for w in able), default=0.0)
     for w in wanted.values():
-        reach = w in able
-        w["aim"] = size * w["share"] if reach else 0.0
-        w["mean"] = calibrate(w["levels"], w["aim"], w["cap"]) if reach else 0.0
-        w["cuts"] = thresholds(w["mean"], w["cap"]) if reach else []
+        w["rate"] = w["mean"] = 0.0
+        w["times"] = []
+        if w in able:
+            w["rate"] = min(size * w["share"] / w["at_hand"], float(w["cap"]))
+            w["mean"] = mean_for(w["rate"], w["cap"])
+            plain = draws(w["mean"], w["cap"])
+            shift = settle(w["levels"], plain, w["rate"] * w["at_hand"])
+            w["times"] = [plain[(level + shift) % LEVELS] for level in range(LEVELS)]
     return list(wanted.values())
 
 
 def counted(texts: DataFrame, planned: list[dict]) -> DataFrame:
-    """``texts`` with the number of times each is taken (column ``times``)."""
-    usable = [w for w in planned if w["cuts"]]
-    if not usable:
-        return texts.withColumn("times", F.lit(0))
-    # one term per copy, without a lambda: the optimizer infers filters across the join from this expression
-    u = (F.col("level") + 0.5) / LEVELS
-    times = F.lit(0)
-    for k in range(max(len(w["cuts"]) for w in usable)):
-        cut = F.lit(None).cast("double")
-        for w in usable:
-            if k < len(w["cuts"]):
-                cut = F.when(F.col("source") == w["source"], F.lit(w["cuts"][k])).otherwise(cut)
-        times = times + F.coalesce((u >= cut).cast("int"), F.lit(0))
-    return texts.withColumn("times", times)
+    """``texts`` that are taken, with the number of times (column ``times``): met by source and level.
+
+    The table of times holds at most sources x levels rows; the planner broadcasts it by its size or shuffles it.
+    """
+    rows = [(w["source"], level, k) for w in planned for level, k in enumerate(w["times"]) if k]
+    return texts.join(texts.sparkSession.createDataFrame(rows, "source string, level int, times int"), ["source", "level"])
 
 
 def mix(docs: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc_id, source, copy_no, n_tokens, text): the mixture, globally shuffled."""
     texts = durable(texts_of(docs, targets, vocabulary), "texts")
     planned = plan(texts, targets)
-    taken = counted(texts, planned).where("times > 0").select("doc_id", "source", "n_tokens", "times")
+    taken = counted(texts, planned).select("doc_id", "source", "n_tokens", "times")
     # the level follows from the content, so texts that are not taken are left out before anything is shuffled
     hashed = docs.where(F.length("text") > 0).select("doc_id", "text", "source", *_content("text"))
-    bodies = counted(hashed.withColumn("level", _level()), planned).where("times > 0").select(
+    bodies = counted(hashed.withColumn("level", _level()), planned).select(
         "doc_id", "text", F.col("source").alias("_s")
     )
     drawn = bodies.join(taken.withColumnRenamed("source", "_s"), ["doc_id", "_s"])
@@ -151,13 +171,13 @@ def shares(docs: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY) ->
     """One row per target source: target and reached share, tokens, texts and copies taken."""
     texts = durable(texts_of(docs, targets, vocabulary), "texts")
     planned = plan(texts, targets)
-    got = counted(texts, planned).where("times > 0").groupBy("source").agg(
+    got = counted(texts, planned).groupBy("source").agg(
         F.sum(F.col("n_tokens") * F.col("times")).alias("n_tokens"), F.count(F.lit(1)).alias("n_texts"),
         F.sum("times").alias("n_copies"), F.max("times").alias("most_repeats"),
     )
     spark = texts.sparkSession
-    rows = [(w["source"], w["share"], w["cap"], w["at_hand"]) for w in planned]
-    want = spark.createDataFrame(rows, "source string, target_share double, max_repeats int, tokens_at_hand long")
+    rows = [(w["source"], w["share"], w["cap"], w["at_hand"], w["rate"]) for w in planned]
+    want = spark.createDataFrame(rows, "source string, target_share double, max_repeats int, tokens_at_hand long, target_rate double")
     total = got.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("all_tokens")).first()[0]
     out = want.join(got, "source", "left").na.fill(0, ["n_tokens", "n_texts", "n_copies", "most_repeats"])
     reached = F.when(F.lit(total) > 0, F.col("n_tokens") / F.lit(float(total) or 1.0)).otherwise(0.0)

@@ -364,10 +364,33 @@ def test_p7_shares_and_repeats(spark):
     assert sorted(map(tuple, p7.mix(docs.repartition(5), targets).select("doc_id", "copy_no").collect())) == sorted((r.doc_id, r.copy_no) for r in mix)
 
 
-def test_p7_poisson_thresholds():
-    cuts = p7.thresholds(1.3, 4)
-    want = [sum(math.exp(-1.3) * 1.3**j / math.factorial(j) for j in range(k + 1)) for k in range(4)]
-    assert np.allclose(cuts, want)
+@pytest.mark.parametrize("rate, cap", [(0.3, 1), (0.7, 4), (2.5, 4), (3.99, 4), (60.0, 100), (0.001, 7)])
+def test_p7_draws_have_the_target_rate(rate, cap):
+    mean = p7.mean_for(rate, cap)
+    want = sum(min(k, cap) * math.exp(-mean) * mean**k / math.factorial(k) for k in range(160))
+    assert want == pytest.approx(rate, rel=1e-6)
+    times = p7.draws(mean, cap)
+    assert times == sorted(times) and max(times) <= cap and np.mean(times) == pytest.approx(rate, abs=0.01)
+
+
+def test_p7_the_shift_settles_what_the_draw_misses():
+    rng = random.Random(8)
+    tokens = {rng.randrange(p7.LEVELS): rng.randint(1, 500) for _ in range(900)}
+    times = p7.draws(p7.mean_for(1.4, 4), 4)
+    size = lambda s: sum(n * times[(level + s) % p7.LEVELS] for level, n in tokens.items())
+    target = 1.4 * sum(tokens.values())
+    found = p7.settle(tokens, times, target)
+    assert abs(size(found) - target) <= min(abs(size(s) - target) for s in range(p7.LEVELS)) + 1
+
+
+def test_p7_many_repeats(spark):
+    """No bound on max_repeats but the one given."""
+    docs = spark.createDataFrame([(1, "a", "one two three"), *[(i, "b", f"w{i} x y z") for i in range(2, 120)]], "doc_id long, source string, text string")
+    targets = spark.createDataFrame([("a", 0.5, 100), ("b", 0.5, 3)], "source string, target_share double, max_repeats int")
+    got = collections.Counter(r.source for r in p7.mix(docs, targets).select("source", "copy_no").collect())
+    shares = {r.source: r for r in p7.shares(docs, targets).collect()}
+    assert got["a"] == shares["a"].most_repeats == 100 and shares["a"].max_repeats == 100
+    assert abs(shares["b"].reached_share - 0.5) < 0.01
 
 
 def test_p7_empty(spark):

@@ -17,7 +17,8 @@ letter apart that both occur as surnames of several persons are different surnam
 Scale: distinct names only; the join is an equi-join on refined suffixes and blocks between author names and all names;
 the result returns to the rows by the distinct name, spread by the hot/cold split.
 
-Defined cases: null, blank and one-part names give no link; initials that fit two listed
+Defined cases: null, blank and one-part names give no link; a surname of one letter gives none (it is an initial); a last token of two
+letters is read both as surname and as initials; initials that fit two listed
 authors of one surname give no link; equal strings are the same name and give no row;
 repeated rows give one row each; nulls in other columns do not matter.
 """
@@ -28,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomql.operators.skew import hot_cold_join
-from loomql.session import durable
+from loomql.session import durable, stages
 
 from .text import fold, lcs_ratio
 
@@ -48,10 +49,12 @@ KINDS = {
 }
 LINKS = "of|for|f|and"
 SURNAME_RATIO = 0.86
+LEAST_RATIO = 0.79
 ONE_TYPO = 0.9
 GIVEN_RATIO = 0.79
 KNOWN_SURNAME_INITIALS = 3
 SHORT_SHARE = 0.2
+BROADCAST_NAMES = 200_000
 NAMES_PER_BLOCK = 400
 ROWS_PER_BLOCK = 1000
 
@@ -140,6 +143,8 @@ def _parts(read: DataFrame, nicknames: DataFrame) -> tuple[DataFrame, DataFrame]
         firsts.where((F.col("n") >= many) & (F.length("g") <= 12)).select("g").join(formal, "g", "left_anti"), "learned"
     )
     known = durable(learned.unionByName(formal), "given")
+    if known.count() > BROADCAST_NAMES:
+        raise ValueError(f"more than {BROADCAST_NAMES} given names")
     short = _short_forms(before, learned, known).unionByName(nick.select(F.col("nick").alias("g"))).distinct()
     own = formal.unionByName(learned.join(short, "g", "left_anti")).withColumn("own", F.lit(True))
     spelled = known.join(own, "g", "left").select(
@@ -147,8 +152,11 @@ def _parts(read: DataFrame, nicknames: DataFrame) -> tuple[DataFrame, DataFrame]
     ).unionByName(
         nick.select(F.col("nick").alias("t"), F.lit(False).alias("is_known"), F.col("given").alias("as_given"))
     ).groupBy("t").agg(F.max("is_known").alias("is_known"), F.collect_set("as_given").alias("as_given"))
-    # the given-name table is bounded by the relative threshold above: at most 1/0.0008 names plus the list
-    toks = orgless.select("name", F.posexplode("toks").alias("i", "t")).join(F.broadcast(spelled), "t", "left")
+    spelled = durable(spelled, "spelled")
+    toks = orgless.select("name", F.posexplode("toks").alias("i", "t"))
+    # the given-name table follows the relative threshold above (at most 1/0.0008 names) and the list
+    small = spelled.count() <= BROADCAST_NAMES
+    toks = toks.join(F.broadcast(spelled), "t", "left") if small else hot_cold_join(toks, spelled, ["t"], None, "left")
     ordered = toks.groupBy("name").agg(
         F.sort_array(F.collect_list(F.struct("i", "t", F.coalesce("is_known", F.lit(False)).alias("known"), "as_given"))).alias("a")
     )
@@ -158,13 +166,16 @@ def _parts(read: DataFrame, nicknames: DataFrame) -> tuple[DataFrame, DataFrame]
             "a", lambda x: F.struct((~is_given(x)).alias("other"), F.length(x["t"]).alias("n"), x["i"].alias("i"))
         )
     )
+    # a last token of two letters with a vowel may be initials or a surname: both readings are kept
+    end = F.get("a", F.size("a") - 1)
+    short_surname = (F.length(end["t"]) == 2) & end["t"].rlike("[aeiouy]") & end["as_given"].isNull() & (end["i"] != longest["i"])
     parts = (
         ordered.where(F.size("a") >= 2)
-        .withColumn("at", longest["i"])
+        .withColumn("at", F.explode(F.array_compact(F.array(longest["i"], F.when(short_surname, end["i"])))))
         .withColumn("s", F.get(F.filter("a", lambda x: x["i"] == F.col("at")), F.lit(0))["t"])
         .withColumn("g", F.filter("a", lambda x: x["i"] != F.col("at")))
         .select("name", "s", F.get("g", F.lit(0)).alias("g"), F.get("g", F.lit(1)).alias("m"))
-        .where(F.length("s") >= 3)
+        .where(F.length("s") >= 2)
     )
     return parts.join(orgless.select("name", "kind", "gen"), "name"), known
 
@@ -229,17 +240,17 @@ def same_names(names: DataFrame, listed: DataFrame, nicknames: DataFrame) -> Dat
     """
     parts, _ = _parts(durable(read_names(names), "read"), nicknames)
     parts = durable(parts, "parts")
-    surnames = parts.groupBy("s").agg(F.count_distinct(F.substring("g.t", 1, 1)).alias("persons"))
+    surnames = parts.groupBy("s").agg(F.count_distinct(F.substring("g.t", 1, 1)).alias("persons"), F.count(F.lit(1)).alias("n"))
     parts = durable(
-        parts.join(surnames, "s").withColumn("known_surname", F.col("persons") >= KNOWN_SURNAME_INITIALS).drop("persons"), "parts2"
+        hot_cold_join(parts, durable(surnames, "surnames"), ["s"], "n", "inner").withColumn("known_surname", F.col("persons") >= KNOWN_SURNAME_INITIALS).drop("persons"), "parts2"
     )
     keys = durable(_keys(parts), "keys")
-    pairs = _candidates(keys, listed)
+    pairs = durable(_candidates(keys, listed), "candidates")
     side = lambda n: parts.select(*[F.col(c).alias(n if c == "name" else f"{c}_{n}") for c in parts.columns])
-    full = pairs.join(side("a"), "a").join(side("b"), "b")
-    near = F.levenshtein("s_a", "s_b", 5)
+    full = hot_cold_join(hot_cold_join(pairs, side("a"), ["a"], None, "inner"), side("b"), ["b"], pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n")), "inner")
+    # |a| + |b| - 2 LCS bounds the edit distance, so this leaves out only what the ratio would
     full = full.where(
-        (near >= 0)
+        (F.levenshtein("s_a", "s_b") <= (1 - LEAST_RATIO) * (F.length("s_a") + F.length("s_b")) + 0.001)
         & (F.col("kind_a").eqNullSafe(F.col("kind_b")))
         & (F.coalesce(F.col("gen_a") == F.col("gen_b"), F.lit(True)))
     )
@@ -247,7 +258,7 @@ def same_names(names: DataFrame, listed: DataFrame, nicknames: DataFrame) -> Dat
         full.withColumn("s_ratio", lcs_ratio("s_a", "s_b"))
         .withColumn("g_ratio", lcs_ratio("g_a.t", "g_b.t"))
         .withColumn("m_ratio", lcs_ratio("m_a.t", "m_b.t"))
-        .where(F.col("s_ratio") >= SURNAME_RATIO - 0.07)
+        .where(F.col("s_ratio") >= LEAST_RATIO)
         .where((F.col("s_ratio") >= ONE_TYPO) | ~(F.col("known_surname_a") & F.col("known_surname_b"))),
         "compared",
     )
@@ -270,9 +281,10 @@ def same_names(names: DataFrame, listed: DataFrame, nicknames: DataFrame) -> Dat
     )
     direct = durable(linked.join(unclear, "b", "left_anti").select("a", "b", (F.length("g_a.t") > 1).alias("hub")), "direct")
     # two spellings that both mean a listed name in full mean each other
-    hub = direct.where("hub").select(F.col("a").alias("h"), "b")
+    hub = durable(direct.where("hub").select(F.col("a").alias("h"), "b").distinct(), "hub")
     other = hub.join(listed, hub.b == listed.name, "left_semi").select("h", F.col("b").alias("a"))
-    return direct.select("a", "b").unionByName(hub.join(other, "h").select("a", "b").where("a <> b")).distinct()
+    met = hot_cold_join(hub, other, ["h"], None, "inner").select("a", "b").where("a <> b")
+    return direct.select("a", "b").unionByName(met).distinct()
 
 
 def link(books: DataFrame, authors: DataFrame, nicknames: DataFrame) -> DataFrame:
@@ -287,7 +299,9 @@ def link(books: DataFrame, authors: DataFrame, nicknames: DataFrame) -> DataFram
         .groupBy("name").agg(F.sum("nb").alias("nb"), F.sum("na").alias("na")),
         "names",
     )
-    pairs = durable(same_names(counts.select("name"), counts.where("na > 0").select("name"), nicknames), "pairs")
+    with stages(counts.sparkSession) as scope:
+        pairs = durable(same_names(counts.select("name"), counts.where("na > 0").select("name"), nicknames), "pairs")
+        scope.keep(pairs)
     # names on many author rows are cut into blocks of rows, so that no name gathers its ids in one place
     blocks = counts.select(F.col("name").alias("a"), F.ceil(F.col("na") / ROWS_PER_BLOCK).cast("int").alias("blocks"))
     cut = pairs.join(blocks, "a").select("a", "b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))

@@ -261,6 +261,19 @@ def test_p4_blocks_meet_all_pairs(spark, block):
     assert got == sorted((a, b) for a, k in rows for b, h in rows if k == h and a != b and a in own)
 
 
+def test_p4_surnames_of_two_letters(spark):
+    got = linked(spark, ["M. Li", "Ming Li", "Peter Li", "Zorbastik WJ"], ["Ming  Li", "Walter J. Zorbastik", "Li, Ming"])
+    assert {("b0", "a0"), ("b0", "a2"), ("b1", "a0"), ("b1", "a2")} == {(b, a) for kind, b, a in got if kind == "book_author" and b != "b3"}
+
+
+@pytest.mark.parametrize("block", [1, 5, 50, 100_000])
+def test_p4_pairs_do_not_depend_on_the_block(spark, sf_dir, monkeypatch, block):
+    monkeypatch.setattr(p4._candidates, "__defaults__", (block,))
+    got = sorted(map(tuple, llm.p4_found(spark, sf_dir).collect()))
+    kept = test_p4_pairs_do_not_depend_on_the_block.__dict__.setdefault("first", got)
+    assert got == kept and got
+
+
 def test_p4_empty(spark):
     assert linked(spark, [None], [None]) == set()
 

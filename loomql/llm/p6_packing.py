@@ -4,7 +4,9 @@ Texts are spread over partitions by the hash of their id and packed by best-fit
 feasible functions give each partition a lower bound on its containers: where it is met the
 partition is certified and done. Partitions with a gap release the texts of their containers that are not
 full, exchange them with a neighbour (two partitions become one pool) and run best-fit decreasing again; the
-result is kept if it needs fewer containers. This repeats for a few rounds.
+result is kept if it needs fewer containers. This repeats for ``rounds`` rounds, or until every pool is certified or one is left; a
+pool then holds what at most 2^rounds partitions released. Texts that stay in a pool with a gap are packed all the same: the rounds bound the
+work, never the result, and ``gap`` tells how far above its bound a pool is.
 
 A text larger than the capacity is split into full containers of its own and one remainder, which
 is packed like any other text; no other text is split.
@@ -30,7 +32,7 @@ from loomql.session import durable
 
 from .tokens import VOCABULARY, token_counter
 
-ITEMS = 20_000
+ITEMS = 4_000
 ROUNDS = 3
 MAX_CAPACITIES = 1000
 
@@ -203,3 +205,20 @@ def report(packed: DataFrame) -> DataFrame:
     return each.join(bounds, "capacity_id").withColumn(
         "mean_fill", F.round(F.col("n_tokens") / (F.col("n_containers") * F.col("capacity_tokens")), 6)
     )
+
+
+def valid(packed: DataFrame, sizes: DataFrame) -> DataFrame:
+    """One row per capacity: texts placed, containers over capacity, texts not placed once and whole or split without need,
+    and whether the containers stay within a hundredth (and one) of the certified bound and the gaps that were left.
+    """
+    over = containers(packed).groupBy("capacity_id").agg(F.sum((F.col("filled_tokens") > F.col("capacity_tokens")).cast("long")).alias("overfull"))
+    placed = packed.groupBy("capacity_id", "capacity_tokens", "doc_id").agg(
+        F.sum("n_tokens").alias("placed"), F.count(F.lit(1)).alias("pieces"), F.count_distinct("piece").alias("numbers")
+    )
+    need = F.greatest(F.lit(1), F.ceil(F.col("n_tokens") / F.col("capacity_tokens")))
+    wrong = (F.col("placed") != F.col("n_tokens")) | (F.col("pieces") != need) | (F.col("numbers") != need)
+    texts = placed.join(sizes, "doc_id").groupBy("capacity_id", "capacity_tokens").agg(
+        F.count(F.lit(1)).alias("n_texts"), F.sum(wrong.cast("long")).alias("misplaced")
+    )
+    bound = report(packed).select("capacity_id", (F.col("n_containers") <= 1.01 * F.col("certified_bound") + 1).alias("near_bound"))
+    return texts.join(over, "capacity_id").join(bound, "capacity_id")

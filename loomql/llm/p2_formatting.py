@@ -3,7 +3,8 @@
 Every column, and every named field of a text line, is encoded through one dictionary: each distinct value is canonicalised
 once, and each distinct canonical value of a field gets an integer of its own, assigned and written once. A record becomes
 the sorted tuple of its integers; absent and null fields take no place in it, so null equals only
-null. Records are grouped by a 128-bit digest of the compact tuple; where a digest repeats, the tuples themselves are grouped.
+null. Columns of integers and dates are integers already and enter with their field's number beside them. Records are grouped by a
+64-bit digest of the compact tuple; where a digest repeats, the tuples themselves are grouped.
 
 Canonical form: letters and digits only, in order, case disregarded; a point directly between two
 digits stays. Values that are no strings count as written.
@@ -45,29 +46,41 @@ def dictionary(values: DataFrame) -> DataFrame:
     ``canon`` is a function of ``val`` and the same for all values of a field. ``vid`` is one integer per distinct
     (field, canonical form): a running number, so that two forms never share one.
     """
-    found = durable(values.where("val is not null").groupBy("fld", "val").agg(F.count(F.lit(1)).alias("n"), F.max("as_is").alias("as_is")), "values")
+    found = values.where("val is not null").groupBy("fld", "val").agg(F.count(F.lit(1)).alias("n"), F.max("as_is").alias("as_is"))
     found = durable(found.select("fld", "val", "n", F.when(F.col("as_is"), F.col("val")).otherwise(canonical(F.col("val"))).alias("canon")), "canonical")
     forms = found.groupBy("fld", "canon").agg(F.count(F.lit(1)).alias("spellings")).withColumn("vid", F.monotonically_increasing_id())
     return hot_cold_join(found, durable(forms, "forms"), ["fld", "canon"], "spellings", "inner").select("fld", "val", "n", "vid")
 
 
-def _digest(ids: Column) -> list[Column]:
-    """Two 64-bit digests of a sorted tuple."""
-    return [F.xxhash64(F.lit(1), ids).alias("d1"), F.xxhash64(F.lit(2), ids).alias("d2")]
+def _digest(ids: Column) -> Column:
+    """64-bit digest of a sorted tuple."""
+    return F.xxhash64(ids)
+
+
+def _integer(field: int, kind: str, c: Column) -> Column | None:
+    """Identifier of a value that is an integer of up to 32 bits or a date: below 0, unique over fields; else None."""
+    if kind not in ("tinyint", "smallint", "int", "date"):
+        return None
+    number = F.unix_date(c) if kind == "date" else c
+    return -1 - (F.lit(field * 2**33).cast("long") + number.cast("long") + F.lit(2**31))
 
 
 def encode_columns(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """(key, ids): the sorted (field, value) integers of each record."""
     kinds = dict(df.dtypes)
-    out = df.select(F.col(key).cast("string").alias("_key"), *[F.col(f).cast("string").alias(f"_v{i}") for i, f in enumerate(fields)])
+    own = {i: n.alias(f"_i{i}") for i, f in enumerate(fields) if (n := _integer(i, kinds[f], F.col(f))) is not None}
+    worded = [i for i in range(len(fields)) if i not in own]
+    out = df.select(F.col(key).cast("string").alias("_key"), *own.values(), *[F.col(fields[i]).cast("string").alias(f"_v{i}") for i in worded])
     with stages(df.sparkSession) as scope:
-        cells = F.array(*[F.struct(F.lit(i).alias("fld"), F.col(f"_v{i}").alias("val"), F.lit(kinds[f] != "string").alias("as_is")) for i, f in enumerate(fields)])
+        cells = F.array(*[F.struct(F.lit(i).alias("fld"), F.col(f"_v{i}").alias("val"), F.lit(kinds[fields[i]] != "string").alias("as_is")) for i in worded])
+        if not worded:
+            cells = F.array().cast("array<struct<fld:int,val:string,as_is:boolean>>")
         words = durable(dictionary(out.select(F.explode(cells).alias("c")).select("c.*")), "dictionary")
         scope.keep(words)
     sizes = {r[0]: r[1:] for r in words.groupBy("fld").agg(F.count(F.lit(1)), F.sum(F.length("val"))).collect()}  # one row per field
     budget, room = BROADCAST_ROWS, BROADCAST_CHARACTERS
     # small fields first, so that wide rows are shuffled only with integers in place of their values
-    for i in sorted(range(len(fields)), key=lambda i: sizes.get(i, (0, 0))):
+    for i in sorted(worded, key=lambda i: sizes.get(i, (0, 0))):
         rows, characters = sizes.get(i, (0, 0))
         part = words.where(F.col("fld") == i).select(F.col("val").alias(f"_v{i}"), "n", F.col("vid").alias(f"_i{i}"))
         if rows <= budget and characters <= room:
@@ -131,11 +144,11 @@ def collapse(encoded: dict[str, DataFrame]) -> DataFrame:
 
     Keys compare as strings. ``encoded``: table name -> (key, ids).
     """
-    parts = [df.select(F.lit(t).alias("tbl"), "key", "ids", *_digest(F.col("ids"))) for t, df in encoded.items()]
+    parts = [df.select(F.lit(t).alias("tbl"), "key", "ids", _digest(F.col("ids")).alias("d")) for t, df in encoded.items()]
     rows = durable(reduce(DataFrame.unionByName, parts).where(F.col("key").isNotNull()), "encoded")
-    repeated = rows.groupBy("tbl", "d1", "d2").agg(F.count(F.lit(1)).alias("copies")).where(F.col("copies") > 1)
+    repeated = rows.groupBy("tbl", "d").agg(F.count(F.lit(1)).alias("copies")).where(F.col("copies") > 1)
     # equal digests are not yet equal records: the few rows concerned are grouped by the tuples themselves
-    alike = hot_cold_join(rows, durable(repeated, "repeated"), ["tbl", "d1", "d2"], "copies", "inner").select("tbl", "key", "ids")
+    alike = hot_cold_join(rows, durable(repeated, "repeated"), ["tbl", "d"], "copies", "inner").select("tbl", "key", "ids")
     alike = durable(alike, "alike")
     groups = alike.groupBy("tbl", "ids").agg(F.min("key").alias("first_key"), F.count(F.lit(1)).alias("copies")).where(F.col("copies") > 1)
     copies = hot_cold_join(alike, durable(groups, "groups"), ["tbl", "ids"], "copies", "inner")

@@ -54,9 +54,9 @@ PACKS = ("pack", "pcs", "pieces", "piece", "pc")
 DASH = "-‐-―_/"
 _NAMES = "|".join(sorted((n for u in UNITS.values() for n in u), key=len, reverse=True))
 MEASURE = rf"(\d+(?:[.,]\d+)?)\s*-?({_NAMES})(?![a-z0-9])"
-# Runs with a digit in one piece, and short letters with a number after one space.
-RUN = rf"(?<![a-z0-9])(?:[a-z]++[{DASH}]?)++\d[a-z0-9]*+(?:[{DASH}][a-z0-9]++)*+"
-SPACED = rf"(?<![a-z0-9])[a-z]{{1,3}}[  ]\d{{2,}}+(?:[{DASH}  ]?[a-z]{{1,2}}(?![a-z0-9]))?"
+# Runs with a digit in one piece, and short letters with a number after spaces or dashes.
+RUN = rf"(?<![a-z0-9])(?:[a-z]++[{DASH}]{{0,2}}+)++\d[a-z0-9]*+(?:[{DASH}]{{1,2}}+[a-z0-9]++)*+"
+SPACED = rf"(?<![a-z0-9])[a-z]{{1,3}}[\s\u00a0{DASH}]{{1,3}}+\d{{2,}}+(?:[\s\u00a0][a-z]{{1,2}}(?![a-z0-9])|[{DASH}]{{0,2}}[a-z]*+)"
 
 
 def _two_digits(value: Column) -> Column:
@@ -148,7 +148,9 @@ def _codes(read: DataFrame) -> DataFrame:
     tried = tried.unionByName(
         read.select("id", F.posexplode("spaced").alias("at", "run")).select("id", "at", "run", F.lit(1).alias("kind"), F.col("run").alias("code"))
     ).unionByName(
-        runs.where(F.length("code") > 6).select("id", "at", F.col("code").alias("run"), F.lit(2).alias("kind"), F.explode(_glued(F.col("code"))).alias("code"))
+        read.select("id", F.posexplode(F.concat("runs", "spaced")).alias("at", "run")).where(F.length("run") > 6).select(
+            "id", "at", "run", F.lit(2).alias("kind"), F.explode(_glued(F.col("run"))).alias("code")
+        )
     )
     tried = durable(tried.withColumn("base", _base(F.col("code"))), "tried")
     kinds = tried.groupBy("code", "base").agg(F.count(F.lit(1)).alias("uses"))
@@ -158,14 +160,15 @@ def _codes(read: DataFrame) -> DataFrame:
         "known",
     )
     met = hot_cold_join(tried, known, ["code"], "uses", "inner")
-    variant = F.length("code") - F.length("base")
-    shared = (F.col("base_n") >= 2) & ((F.col("n") >= 2) | (variant <= 2))
+    # a known base with up to two letters; longer tails may be a word that lost its space
+    short = (F.col("base_n") >= 2) & (F.length("code") - F.length("base") <= 2)
     rank = (
-        F.when((F.col("kind") == 0) & shared, 0)
-        .when((F.col("kind") == 1) & shared, 1)
-        .when((F.col("kind") == 2) & shared & (F.col("n") > 0), 2)
-        .when((F.col("kind") == 2) & shared, 3)
-        .when((F.col("kind") == 0) & (F.col("n") > 0), 4)
+        F.when((F.col("kind") == 0) & short, 0)
+        .when((F.col("kind") == 1) & short, 1)
+        .when((F.col("kind") == 2) & short & (F.col("n") > 0), 2)
+        .when((F.col("kind") == 0) & (F.col("n") >= 2), 3)
+        .when((F.col("kind") == 2) & short, 4)
+        .when((F.col("kind") == 0) & (F.col("n") > 0), 5)
     )
     best = met.withColumn("rank", rank).where("rank is not null").groupBy("id").agg(
         F.min_by(

@@ -38,7 +38,9 @@ def levenshtein_weighted(ins: int, delete: int, sub: int, limit: int | None = No
                 for j, cy in enumerate(y):
                     nxt.append(min(row[j] + (0 if cx == cy else sub), row[j + 1] + delete, nxt[j] + ins))
                 row = nxt
-            d = row[-1]
+                if limit is not None and min(row) > limit:
+                    break
+            d = min(row) if limit is not None and min(row) > limit else row[-1]
             out.append(d if limit is None or d <= limit else limit + 1)
         return pd.Series(out, dtype="Int32")
 
@@ -88,10 +90,79 @@ def set_similarity(x: Column, y: Column) -> Column:
     return F.when(all_ > 0, shared / all_).otherwise(0.0)
 
 
+def _extent_similarity(grams: set[str], ordered: list[str], starts: list[int], ends: list[int]) -> float:
+    """Greatest similarity of ``grams`` to any run of ``ordered`` that begins at one of ``starts`` and ends at one of ``ends``."""
+    best = 0.0
+    for lo in starts:
+        inside: set[str] = set()
+        at = lo
+        for hi in ends:
+            if hi < lo:
+                continue
+            inside.update(ordered[at : hi + 1])
+            at = hi + 1
+            shared = len(inside & grams)
+            best = max(best, shared / (len(grams) + len(inside) - shared))
+    return best
+
+
+def _word_similarity(strict: bool):
+    import re
+
+    def padded(text: str) -> list[list[str]]:
+        words = (f"  {w} " for w in re.findall(r"[^\W_]+", text.lower()))
+        return [[w[i : i + 3] for i in range(len(w) - 2)] for w in words]
+
+    def one(a: str, b: str) -> float:
+        grams = {g for w in padded(a) for g in w}
+        words = padded(b)
+        ordered = [g for w in words for g in w]
+        if not grams or not ordered:
+            return 0.0
+        if strict:
+            ends, n = [], -1
+            for w in words:
+                n += len(w)
+                ends.append(n)
+            return _extent_similarity(grams, ordered, [0, *[e + 1 for e in ends[:-1]]], ends)
+        # the best run begins and ends with a shared trigram
+        hits = [i for i, g in enumerate(ordered) if g in grams]
+        return _extent_similarity(grams, ordered, hits, hits)
+
+    @F.pandas_udf(T.DoubleType())
+    def similar(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None or y is None else one(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+    return similar
+
+
 def word_similarity(a: Column, b: Column) -> Column:
-    """Share of the trigrams of ``a`` found in ``b``: the bound that the best extent of b can reach."""
-    x = trigrams(a)
-    return F.when(F.size(x) > 0, F.size(F.array_intersect(x, trigrams(b))) / F.size(x)).otherwise(0.0)
+    """Greatest trigram similarity of ``a`` to any run of the ordered trigrams of ``b``; null for a null. Arrow batches."""
+    return _word_similarity(False)(a, b)
+
+
+def strict_word_similarity(a: Column, b: Column) -> Column:
+    """The same over runs of whole words of ``b``."""
+    return _word_similarity(True)(a, b)
+
+
+# The bounds of the similarity operators.
+SIMILAR, WORD_SIMILAR, STRICT_WORD_SIMILAR = 0.3, 0.6, 0.5
+
+
+def is_similar(a: Column, b: Column, limit: float = SIMILAR) -> Column:
+    """``a % b``."""
+    return similarity(a, b) >= limit
+
+
+def is_word_similar(a: Column, b: Column, limit: float = WORD_SIMILAR) -> Column:
+    """``a <% b``."""
+    return word_similarity(a, b) >= limit
+
+
+def distance(a: Column, b: Column) -> Column:
+    """``a <-> b``."""
+    return 1 - similarity(a, b)
 
 
 def unaccent(c: Column) -> Column:
@@ -105,90 +176,50 @@ def unaccent(c: Column) -> Column:
     return F.regexp_replace(F.translate(c, "".join(marked), "".join(base)), r"\p{M}", "")
 
 
+# How English letters sound, by what stands around them. The first rule that fits at a letter gives its code and
+# consumes what it matched; a letter without a rule is silent.
+SOUND_RULES = (
+    ("(?<!M)B", "B"),
+    ("C(?=IA)", "X"), ("(?<=S)C(?=[EIY])", ""), ("C(?=[EIY])", "S"), ("CH(?=R)", "K"), ("(?<=S)CH", "K"), ("CH", "X"), ("C", "K"),
+    ("DG(?=[EIY])", "J"), ("D", "T"),
+    ("(?<![BDH]..)(?<!H...)GH", "F"), ("G(?=H|N(?![A-Z])|NED)", ""), ("(?<!G)G(?=[EIY])", "J"), ("G", "K"),
+    ("(?<![CGPST])H(?=[AEIOU])", "H"),
+    ("(?<!C)K", "K"), ("P(?=H)", "F"), ("P", "P"), ("Q", "K"),
+    ("S(?=I[AO])", "X"), ("SH", "X"), ("SCH(?=W)", "X"), ("S", "S"),
+    ("T(?=I[AO])", "X"), ("TH", "0"), ("T", "T"),
+    ("V", "F"), ("W(?=[AEIOU])", "W"), ("X", "KS"), ("Y(?=[AEIOU])", "Y"), ("Z", "S"),
+    ("F", "F"), ("J", "J"), ("L", "L"), ("M", "M"), ("N", "N"), ("R", "R"),
+)
+FIRST_RULES = (("AE", "E"), ("[GKP]N", "N"), ("WH", "H"), ("WR", "R"), ("W[AEIOU]", "W"), ("X", "S"), ("A", "A"), ("E", "E"), ("I", "I"), ("O", "O"), ("U", "U"))
+
+
 def metaphone(max_length: int = 255):
-    """Column function: sound form by English spelling rules, cut to ``max_length``. Arrow batches."""
-
-    def sound(word: str) -> str:
-        w = "".join(ch for ch in word.upper() if "A" <= ch <= "Z")
-        if not w:
-            return ""
-        at = lambda i: w[i] if 0 <= i < len(w) else ""
-        soft, vowels, out, i = "EIY", "AEIOU", [], 0
-        if w[:2] in ("AE", "GN", "KN", "PN", "WR"):
-            w = w[1:]
-        elif w[:1] == "X":
-            w = "S" + w[1:]
-        elif w[:2] == "WH":
-            w = "W" + w[2:]
-        while i < len(w):
-            ch, nxt, prev = w[i], at(i + 1), at(i - 1)
-            if ch == prev and ch != "C":
-                i += 1
-                continue
-            if ch in vowels:
-                if i == 0:
-                    out.append(ch)
-            elif ch == "B":
-                if not (i == len(w) - 1 and prev == "M"):
-                    out.append("B")
-            elif ch == "C":
-                if nxt == "H":
-                    out.append("K" if prev == "S" else "X")
-                    i += 1
-                elif w[i : i + 3] == "CIA":
-                    out.append("X")
-                elif nxt in soft and nxt:
-                    if prev != "S":
-                        out.append("S")
-                else:
-                    out.append("K")
-            elif ch == "D":
-                out.append("J" if nxt == "G" and at(i + 2) in soft and at(i + 2) else "T")
-            elif ch == "G":
-                if nxt == "H" and at(i + 2) not in vowels:
-                    pass
-                elif nxt == "N":
-                    pass
-                elif nxt in soft and nxt and prev != "G":
-                    out.append("J")
-                else:
-                    out.append("K")
-            elif ch == "H":
-                if nxt in vowels and nxt and prev not in ("C", "G", "P", "S", "T"):
-                    out.append("H")
-            elif ch == "K":
-                if prev != "C":
-                    out.append("K")
-            elif ch == "P":
-                out.append("F" if nxt == "H" else "P")
-            elif ch == "Q":
-                out.append("K")
-            elif ch == "S":
-                if nxt == "H" or w[i : i + 3] in ("SIO", "SIA"):
-                    out.append("X")
-                else:
-                    out.append("S")
-            elif ch == "T":
-                if w[i : i + 3] in ("TIA", "TIO"):
-                    out.append("X")
-                elif nxt == "H":
-                    out.append("0")
-                    i += 1
-                elif w[i : i + 3] != "TCH":
-                    out.append("T")
-            elif ch == "V":
-                out.append("F")
-            elif ch in "WY":
-                if nxt in vowels and nxt:
-                    out.append(ch)
-            elif ch == "X":
-                out += ["K", "S"]
-            elif ch == "Z":
-                out.append("S")
-            else:
-                out.append(ch)
-            i += 1
-        return "".join(out)[:max_length]
+    """Column function: sound form by English spelling rules, cut to ``max_length`` (1 to 255). Arrow batches.
+
+    Null for a null; empty for a text without letters A-Z. Other characters are silent, but part letters.
+    """
+    import re
+
+    if not 0 < max_length <= 255:
+        raise ValueError("max_length must be between 1 and 255")
+    rules = [(re.compile(p), code) for p, code in SOUND_RULES]
+    first = [(re.compile(p), code) for p, code in FIRST_RULES]
+
+    def fits(at: int, word: str, table: list) -> tuple[str, int]:
+        for pattern, code in table:
+            if m := pattern.match(word, at):
+                return code, m.end()
+        return "", at
+
+    def sound(text: str) -> str:
+        word = re.sub("^[^A-Z]+", "", text.upper())
+        out, at = fits(0, word, first)
+        while at < len(word) and len(out) < max_length:
+            again = at > 0 and word[at] == word[at - 1] and word[at] != "C"
+            code, end = ("", at) if again else fits(at, word, rules)
+            out += code
+            at = max(end, at + 1)
+        return out[:max_length]
 
     @F.pandas_udf(T.StringType())
     def run(s: pd.Series) -> pd.Series:

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+BLOCK_ROWS = 100
 METHODS: dict[str, Callable[..., DataFrame]] = {}
 
 
@@ -37,14 +38,16 @@ def _percent(p: float) -> float:
 @method("bernoulli")
 def bernoulli(df: DataFrame, percent: float, key: list[str], seed: int = 0) -> DataFrame:
     """Each row by the hash of its key and the seed: the same rows however the table is split."""
-    u = F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(1 << 30)) / float(1 << 30)
-    return df.where(u < _percent(percent))
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in key]))
+    u = F.conv(F.substring(digest, 1, 8), 16, 10).cast("double")
+    return df.where(u < _percent(percent) * 2**32)
 
 
 @method("system")
 def system(df: DataFrame, percent: float, seed: int = 0) -> DataFrame:
-    """Whole file blocks: every row of a block is in or out together."""
-    meta = df.withColumn("_f", F.col("_metadata.file_name")).withColumn("_b", F.col("_metadata.file_block_start"))
+    """Blocks of ``BLOCK_ROWS`` neighbouring rows of a file: every row of a block is in or out together."""
+    block = F.floor(F.col("_metadata.row_index") / BLOCK_ROWS)
+    meta = df.withColumn("_f", F.col("_metadata.file_name")).withColumn("_b", block)
     u = F.pmod(F.xxhash64(F.lit(seed), "_f", "_b"), F.lit(1 << 30)) / float(1 << 30)
     return meta.where(u < _percent(percent)).drop("_f", "_b")
 

@@ -113,10 +113,10 @@ def recursive_union_all(t: Tables) -> DataFrame:
     return t.spark.sql("WITH RECURSIVE r(n, s) AS (SELECT 1L, 1L UNION ALL SELECT n + 1, s + (n + 1) * (n + 1) FROM r WHERE n < 20) SELECT n, s FROM r")
 
 
-@R.query("WITH RECURSIVE e AS (SELECT n_nationkey AS a, (n_nationkey * 7 + n_regionkey) % 25 AS b FROM nation), r(x) AS (SELECT 0 UNION SELECT b FROM r JOIN e ON a = x) SELECT x FROM r")
+@R.query("WITH RECURSIVE e AS (SELECT n_nationkey AS a, (n_nationkey * 7 + n_regionkey) % 25 AS b FROM nation), r(x) AS (SELECT 1 UNION SELECT b FROM r JOIN e ON a = x) SELECT x FROM r")
 def recursive_union(t: Tables) -> DataFrame:
     e = t("nation").select(F.col("n_nationkey").alias("a"), ((F.col("n_nationkey") * 7 + F.col("n_regionkey")) % 25).alias("b"))
-    seed = t.spark.range(1).select(F.lit(0).alias("x"))
+    seed = t.spark.range(1).select(F.lit(1).alias("x"))
     return rw.fixed_point(seed, lambda r: r.join(e, r.x == e.a).select(F.col("b").alias("x")))
 
 

@@ -12,7 +12,7 @@ QUERIES, SQL = core_queries.queries(), core_queries.oracle_sql()
 def test_query(spark, sf_dir, name):
     df = QUERIES[name](spark, sf_dir)
     if name not in SQL:
-        df.count()
+        assert df.count() > 0, "a query without SQL must at least give rows on these tables"
         return
     assert rows_of(df) == rows_of_sql(connect(sf_dir), SQL[name])
 
@@ -25,7 +25,7 @@ def test_every_sql_has_a_query():
     assert set(SQL) <= set(QUERIES)
 
 
-@pytest.mark.parametrize("name, table", [("math_functions_table", "lineitem"), ("copy_round_trip_table", "orders")])
+@pytest.mark.parametrize("name, table", [("math_functions", "lineitem"), ("copy_round_trip", "orders")])
 def test_whole_table(spark, sf_dir, name, table):
     (rows,) = connect(sf_dir).execute(f"SELECT count(*) FROM {table}").fetchone()
     assert QUERIES[name](spark, sf_dir).count() == rows
@@ -33,6 +33,6 @@ def test_whole_table(spark, sf_dir, name, table):
 
 def test_whole_multisets(spark, sf_dir):
     """What both sides share and what only the first has make up the first side."""
-    rows = [sum(r.n for r in QUERIES[name](spark, sf_dir).collect()) for name in ("intersect_all_table", "except_all_table")]
+    rows = [sum(r.n for r in QUERIES[name](spark, sf_dir).collect()) for name in ("intersect_all", "except_all")]
     (first,) = connect(sf_dir).execute("SELECT count(*) FROM lineitem WHERE l_linestatus = 'F'").fetchone()
     assert min(rows) > 0 and sum(rows) == first

@@ -122,16 +122,41 @@ def exclude_frame_sum(df: DataFrame, part: Sequence[str], order: str, value: str
     return df.withColumn(out, F.when(left > 0, F.sum(v).over(whole) - minus[0]))
 
 
-def lag_by(df: DataFrame, part: Sequence[str], order: Sequence[str], value: str, offset: str, out: str) -> DataFrame:
-    """lag(value, offset) where the offset is a column: a self join on the row number."""
-    w = Window.partitionBy(*part).orderBy(*[F.asc_nulls_last(o) for o in order])
-    rows = df.withColumn("_rn", F.row_number().over(w))
+def numbered(df: DataFrame, part: Sequence[str], order: Sequence[str], out: str, rows: int = 50_000) -> DataFrame:
+    """row_number() OVER (PARTITION BY part ORDER BY order), nulls last, without sorting a whole part in one task.
+
+    The first order column, a number, date or timestamp, is cut into ranges of about ``rows`` rows; rows are numbered within
+    part and range, and a small table of counts shifts each range by the ranges before it.
+    """
+    from loomql.operators.special_joins import ranges_of
+
+    lost = F.when(F.col(order[0]).isNull(), 1).otherwise(0)
+    cut = df.withColumn("_p", lost * 10_000 + ranges_of(df, order[0], rows))
+    by = [F.asc_nulls_last(o) for o in order]
+    own = cut.withColumn("_own", F.row_number().over(Window.partitionBy(*part, "_p").orderBy(*by)))
+    counts = cut.groupBy(*part, "_p").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(*part).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    counts = counts.select(*[F.col(p).alias(f"_b{i}") for i, p in enumerate(part)], F.col("_p").alias("_q"), "_before")
+    same = reduce(lambda a, b: a & b, [F.col(p).eqNullSafe(F.col(f"_b{i}")) for i, p in enumerate(part)] + [F.col("_p") == F.col("_q")])
+    return own.join(counts, same).withColumn(out, F.col("_own") + F.col("_before")).select(*df.columns, out)
+
+
+def lag_by(df: DataFrame, part: Sequence[str], order: Sequence[str], value: str, offset: str, out: str, default: object = None) -> DataFrame:
+    """lag(value, offset, default) where the offset is a column: a self join on the row number.
+
+    ``default`` is taken where the row asked for does not exist; a value that is null stays null, a null offset gives null.
+    """
+    rows = numbered(df, part, order, "_rn")
     other = rows.select(*[F.col(p).alias(f"_p{i}") for i, p in enumerate(part)], F.col("_rn").alias("_at"), F.col(value).alias(out))
     cond = reduce(
         lambda a, b: a & b,
         [rows[p].eqNullSafe(other[f"_p{i}"]) for i, p in enumerate(part)] + [rows["_rn"] - rows[offset] == other["_at"]],
     )
-    return rows.join(other, cond, "left").drop("_rn", "_at", *[f"_p{i}" for i in range(len(part))])
+    met = rows.join(other, cond, "left")
+    if default is not None:
+        met = met.withColumn(out, F.when(F.col("_at").isNull() & F.col(offset).isNotNull(), F.lit(default)).otherwise(F.col(out)))
+    return met.drop("_rn", "_at", *[f"_p{i}" for i in range(len(part))])
 
 
 def limit_by_query(df: DataFrame, order: Sequence[Column], limit: DataFrame | int | None, offset: int | None = 0) -> DataFrame:

@@ -1,6 +1,8 @@
 """Operators against brute force on literal tables."""
 
 import pandas as pd
+import random
+
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as hs
@@ -68,6 +70,40 @@ def test_nearest_with_ties(spark):
     assert got == sorted([(1, 5, 0.0), (1, 0, 1.0), (1, 1, 1.0), (2, 0, 13.0), (2, 3, 13.0), (2, 5, 14.0)])
 
 
+@pytest.mark.parametrize("rows", [1, 7, 1000])
+def test_nearest_against_brute_force(spark, rows):
+    rng = random.Random(rows)
+    left = [(i, rng.choice([None, 3.0, float(rng.randint(-20, 20))])) for i in range(60)]
+    right = [(i, rng.choice([None, 5.0, 5.0, float(rng.randint(-30, 30))])) for i in range(80)]
+    lt, rt = spark.createDataFrame(left, "a long, v double"), spark.createDataFrame(right, "b long, w double")
+    got = sorted(map(tuple, special_joins.nearest(lt, rt, "a", "v", "b", "w", 3, rows=rows).collect()))
+    want = [(a, b, d) for a, v in left if v is not None for d, b in sorted((abs(v - w), b) for b, w in right if w is not None)[:3]]
+    assert got == sorted(want)
+    assert special_joins.nearest(lt, rt.limit(0), "a", "v", "b", "w", 3).count() == 0
+
+
+@pytest.mark.parametrize("rows", [1, 5, 1000])
+def test_as_of_and_numbered_in_ranges(spark, rows):
+    rng = random.Random(rows)
+    left = [(i, rng.choice(["hot", "hot", "x", None]), rng.choice([None, rng.randint(0, 30)])) for i in range(60)]
+    right = [(rng.choice(["hot", "x"]), rng.randint(0, 30), rng.choice([None, rng.randint(0, 9)])) for _ in range(50)]
+    lt, rt = spark.createDataFrame(left, "i int, k string, t int"), spark.createDataFrame(right, "k string, s int, v int")
+    got = {r.i: r.v_at for r in special_joins.as_of(lt, rt, ["k"], "t", "s", "v", "v_at", rows=rows).collect()}
+    for i, k, t in left:
+        met = [(s, v) for kk, s, v in right if kk == k and t is not None and s <= t and v is not None]
+        assert got[i] == (max(met)[1] if met else None)
+    numbers = {r.i: r.n for r in rewrites.numbered(lt, ["k"], ["t", "i"], "n", rows=rows).collect()}
+    for k in ("hot", "x", None):
+        own = sorted((x for x in left if x[1] == k), key=lambda x: (x[2] is None, x[2] or 0, x[0]))
+        assert [numbers[i] for i, _, _ in own] == list(range(1, len(own) + 1))
+
+
+def test_lag_by_default(spark):
+    df = spark.createDataFrame([(1, 10, 1), (2, 20, 1), (3, None, 1), (4, 40, 1), (5, 50, None)], "k int, v int, o int").withColumn("g", F.lit(1))
+    got = {r.k: r.b for r in rewrites.lag_by(df, ["g"], ["k"], "v", "o", "b", default=-1).collect()}
+    assert got == {1: -1, 2: 10, 3: 20, 4: None, 5: None}
+
+
 @pytest.mark.parametrize("width", [1.0, 3.0, 100.0])
 def test_range_join(spark, width):
     left = [(i, i * 1.5 - 4, i * 1.5 - 4 + i % 4) for i in range(20)]

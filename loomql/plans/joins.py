@@ -168,17 +168,20 @@ def edit_distance_join_three_way(t: Tables) -> DataFrame:
     return sj.edit_join(ab, t("actors").select("nconst", "knownfortitles"), "title2", "knownfortitles", 1, 10).select("imdbid", "id", "nconst")
 
 
-_PROGRESSIVE = "SELECT s_suppkey, n_nationkey FROM supplier JOIN nation ON s_nationkey >= n_nationkey AND s_acctbal > 4000"
+# the similarity condition of the edit-distance join, block by block
+_PROGRESSIVE = "SELECT a.imdbid, b.id FROM imdb a JOIN omdbmovies b ON levenshtein(trim(a.title[1:10]), trim(b.title[1:10])) <= 2"
 
 
-def _progressive(t: Tables, policy: str) -> DataFrame:
-    on = lambda a, b: (a.s_nationkey >= b.n_nationkey) & (a.s_acctbal > 4000)
-    return pg.collect_progressive(pg.progressive_join(t("supplier"), t("nation"), on, 3, 2, policy)).select("s_suppkey", "n_nationkey")
+def _progressive(t: Tables, policy: str, **options) -> DataFrame:
+    a = t("imdb").select("imdbid", sj.short_key(F.col("title"), 10).alias("a")).where("a is not null")
+    b = t("omdbmovies").select("id", sj.short_key(F.col("title"), 10).alias("b")).where("b is not null")
+    on = lambda x, y: F.levenshtein(x.a, y.b, 2).between(0, 2)
+    return pg.collect_progressive(pg.progressive_join(a, b, on, 4, 3, policy, **options)).select("imdbid", "id")
 
 
 @R.query(_PROGRESSIVE)
 def progressive_block(t: Tables) -> DataFrame:
-    return _progressive(t, "block")
+    return _progressive(t, "block", flip=True)
 
 
 @R.query(_PROGRESSIVE)
@@ -186,14 +189,25 @@ def progressive_ripple(t: Tables) -> DataFrame:
     return _progressive(t, "ripple")
 
 
+@R.query(_PROGRESSIVE)
+def progressive_online_ripple(t: Tables) -> DataFrame:
+    return _progressive(t, "online_ripple", least=2, most=2)
+
+
 @R.query(_PROGRESSIVE)
 def progressive_one_sided(t: Tables) -> DataFrame:
-    return _progressive(t, "one_sided")
+    return _progressive(t, "one_sided", must_explore=2, left_cache=2)
 
 
 @R.query(_PROGRESSIVE)
 def progressive_two_sided(t: Tables) -> DataFrame:
-    return _progressive(t, "two_sided")
+    return _progressive(t, "two_sided", left_cache=2, right_cache=2)
+
+
+@R.query("SELECT o_orderkey, o_orderpriority, l_linenumber, l_quantity FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_quantity > 45")
+def progressive_sorted(t: Tables) -> DataFrame:
+    li = t("lineitem").where("l_quantity > 45").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_quantity")
+    return pg.collect_progressive(pg.sorted_progressive_join(t("orders").select("o_orderkey", "o_orderpriority"), li, ["o_orderkey"], 4))
 
 
 @R.query("SELECT o_orderpriority, count(*) AS n FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1")

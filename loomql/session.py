@@ -102,3 +102,12 @@ def durable(df: DataFrame, name: str = "stage") -> DataFrame:
     if (scope := _SCOPE.get()) is not None:
         scope.paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def durable_by(df: DataFrame, column: str, name: str = "parts") -> str:
+    """Write ``df`` as a table with one folder ``column=value`` for each value, and return its path."""
+    path = f"{shared_dir(df.sparkSession)}/loomql-{name}-{uuid.uuid4().hex}"
+    df.write.partitionBy(column).parquet(path)
+    if (scope := _SCOPE.get()) is not None:
+        scope.paths.append(path)
+    return path

@@ -98,6 +98,13 @@ def test_as_of_and_numbered_in_ranges(spark, rows):
         assert [numbers[i] for i, _, _ in own] == list(range(1, len(own) + 1))
 
 
+@pytest.mark.parametrize("kind", ["date", "timestamp", "timestamp_ntz", "decimal(9,2)"])
+def test_ranges_of_any_ordered_kind(spark, kind):
+    df = spark.range(100).select((F.col("id") if kind.startswith("dec") else F.expr("date'2020-01-01' + cast(id as int)")).cast(kind).alias("x"), "id")
+    got = df.select("id", special_joins.ranges_of(df, "x", 10).alias("p")).orderBy("id").collect()
+    assert [r.p for r in got] == sorted(r.p for r in got) and 5 <= len({r.p for r in got}) <= 15
+
+
 def test_lag_by_default(spark):
     df = spark.createDataFrame([(1, 10, 1), (2, 20, 1), (3, None, 1), (4, 40, 1), (5, 50, None)], "k int, v int, o int").withColumn("g", F.lit(1))
     got = {r.k: r.b for r in rewrites.lag_by(df, ["g"], ["k"], "v", "o", "b", default=-1).collect()}

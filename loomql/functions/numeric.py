@@ -53,6 +53,43 @@ def tand(c: Column) -> Column:
     return _exact(c, F.tan(F.radians(c)), {0: 0.0, 45: 1.0, 135: -1.0, 180: 0.0, 225: 1.0, 315: -1.0})
 
 
+def cotd(c: Column) -> Column:
+    """Cotangent of degrees, exact where the tangent is 1 or -1, 0 at 90 and 270; infinite at 0 and 180."""
+    return _exact(c, 1 / F.tan(F.radians(c)), {45: 1.0, 90: 0.0, 135: -1.0, 225: 1.0, 270: 0.0, 315: -1.0, 0: float("inf"), 180: float("-inf")})
+
+
+def _at(c: Column, value: Column, table: dict[float, float]) -> Column:
+    out = value
+    for x, exact in table.items():
+        out = F.when(c == x, F.lit(exact)).otherwise(out)
+    return out
+
+
+def asind(c: Column) -> Column:
+    """Inverse sine in degrees, exact at the halves; an argument beyond 1 raises."""
+    bad = F.abs(c) > 1
+    return F.when(bad, F.raise_error(F.lit("input is out of range")).cast("double")).otherwise(
+        _at(c, F.degrees(F.asin(c)), {-1.0: -90.0, -0.5: -30.0, 0.0: 0.0, 0.5: 30.0, 1.0: 90.0})
+    )
+
+
+def acosd(c: Column) -> Column:
+    bad = F.abs(c) > 1
+    return F.when(bad, F.raise_error(F.lit("input is out of range")).cast("double")).otherwise(
+        _at(c, F.degrees(F.acos(c)), {-1.0: 180.0, -0.5: 120.0, 0.0: 90.0, 0.5: 60.0, 1.0: 0.0})
+    )
+
+
+def atand(c: Column) -> Column:
+    return _at(c, F.degrees(F.atan(c)), {-1.0: -45.0, 0.0: 0.0, 1.0: 45.0})
+
+
+def atan2d(y: Column, x: Column) -> Column:
+    """Angle of the point in degrees, exact on the axes and diagonals."""
+    exact = F.when((y == 0) & (x > 0), 0.0).when((y == 0) & (x < 0), 180.0).when((x == 0) & (y > 0), 90.0).when((x == 0) & (y < 0), -90.0)
+    return F.coalesce(exact, F.when((x == y) & (x > 0), 45.0).when((x == -y) & (x > 0), -45.0), F.degrees(F.atan2(y, x)))
+
+
 def gcd(a: Column, b: Column, steps: int = 64) -> Column:
     """Greatest common divisor by Euclid's steps."""
     pair = F.struct(F.abs(a).cast("bigint").alias("x"), F.abs(b).cast("bigint").alias("y"))
@@ -70,11 +107,12 @@ def normal_rand(spark, n: int, mean: float, sd: float, seed: int):
 
 # Number words.
 _ONES = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
+_THOUSANDS = ("", " thousand", " million", " billion", " trillion", " quadrillion")
 _TENS = "zero ten twenty thirty forty fifty sixty seventy eighty ninety".split()
 
 
 def cash_words(c: Column) -> Column:
-    """Dollars (up to 999,999) and cents in words."""
+    """Dollars and cents in words, for any amount whose cents fit 64 bits."""
     ones, tens = F.array(*map(F.lit, _ONES)), F.array(*map(F.lit, _TENS))
 
     def below_hundred(n: Column) -> Column:
@@ -88,11 +126,14 @@ def cash_words(c: Column) -> Column:
         return F.when(h == 0, below_hundred(r)).when(r == 0, hundreds).otherwise(F.concat(hundreds, F.lit(" "), below_hundred(r)))
 
     cents = F.round(F.abs(c) * 100).cast("bigint")
-    dollars = F.floor(cents / 100).cast("int")
-    k, r = F.floor(dollars / 1000).cast("int"), dollars % 1000
-    words = F.when(k == 0, below_thousand(r)).when(r == 0, F.concat(below_thousand(k), F.lit(" thousand"))).otherwise(
-        F.concat(below_thousand(k), F.lit(" thousand "), below_thousand(r))
-    )
+    dollars = F.expr("0L") + (cents - cents % 100) / 100
+    dollars = dollars.cast("bigint")
+    groups, unit_of = [], dollars
+    for name in _THOUSANDS:
+        n = (unit_of % 1000).cast("int")
+        groups.append(F.when(n > 0, F.concat(below_thousand(n), F.lit(name))))
+        unit_of = ((unit_of - unit_of % 1000) / 1000).cast("bigint")
+    words = F.when(dollars == 0, F.lit("zero")).otherwise(F.concat_ws(" ", *reversed(groups)))
     cc = (cents % 100).cast("int")
     unit = lambda n, w: F.when(n == 1, F.lit(w)).otherwise(F.lit(w + "s"))
     text = F.concat(words, F.lit(" "), unit(dollars, "dollar"), F.lit(" and "), below_hundred(cc), F.lit(" "), unit(cc, "cent"))

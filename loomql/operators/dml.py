@@ -50,8 +50,10 @@ def insert_ignore(target: DataFrame, rows: DataFrame, keys: list[str]) -> tuple[
 def upsert(target: DataFrame, rows: DataFrame, keys: list[str], changes: list[str]) -> DataFrame:
     """ON CONFLICT DO UPDATE: matching rows take the new values of ``changes``, the rest is inserted.
 
-    ``rows`` must be unique in the keys. One full outer join.
+    Two new rows with one key raise: they would change a row twice. One full outer join.
     """
+    if not rows.groupBy(*keys).count().where(reduce(lambda x, y: x & y, [F.col(k).isNotNull() for k in keys], F.col("count") > 1)).isEmpty():
+        raise ValueError("the new rows hold a key twice")
     old, new = target.alias("o"), rows.alias("n")
     cond = reduce(lambda x, y: x & y, [F.col(f"o.{k}") == F.col(f"n.{k}") for k in keys])
     has_new, has_old = F.col(f"n.{keys[0]}").isNotNull(), F.col(f"o.{keys[0]}").isNotNull()

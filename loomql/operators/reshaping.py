@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomql.session import durable
+
 
 def crosstab(df: DataFrame, row: str, category: str, value: str, categories: Sequence[str], names: Sequence[str]) -> DataFrame:
     """Category-aligned pivot; categories not listed are left out, missing ones are null."""
@@ -23,15 +25,20 @@ def crosstab_fill(df: DataFrame, row: str, order: str, value: str, n: int) -> Da
     )
 
 
-def connect_by(df: DataFrame, key: str, parent: str, start, delimiter: str, max_depth: int = 100) -> DataFrame:
-    """Hierarchy below ``start``: key, parent, level and branch. A key on its own branch (a cycle) ends the branch."""
-    spark = df.sparkSession
-    sql = f"""
-      WITH RECURSIVE r(k, p, level, path) AS (
-        SELECT {key}, {parent}, 0, array(cast({key} AS string)) FROM {{t}} WHERE {key} = {{start}}
-        UNION ALL
-        SELECT t.{key}, t.{parent}, r.level + 1, concat(r.path, array(cast(t.{key} AS string)))
-        FROM r JOIN {{t}} t ON t.{parent} = r.k
-        WHERE NOT array_contains(r.path, cast(t.{key} AS string)) AND r.level < {max_depth}
-      ) SELECT k, p, level, array_join(path, {{d}}) AS branch FROM r"""
-    return spark.sql(sql, t=df, start=start, d=delimiter)
+def connect_by(df: DataFrame, key: str, parent: str, start, delimiter: str, max_depth: int = 0) -> DataFrame:
+    """Hierarchy below ``start``: k, p, level and branch. A key on its own branch (a cycle) ends the branch.
+
+    One join for each level, until a level is empty; a ``max_depth`` of 0 is no bound.
+    """
+    rows = df.select(F.col(key).alias("k"), F.col(parent).alias("p"))
+    path = F.array(F.col("k").cast("string"))
+    level = durable(rows.where(F.col("k") == start).select("k", "p", F.lit(0).alias("level"), path.alias("path")), "level")
+    found, depth = level, 0
+    while not level.isEmpty() and (not max_depth or depth < max_depth):
+        depth += 1
+        above = level.select(F.col("k").alias("_k"), F.col("path").alias("_path"))
+        below = rows.join(above, rows.p == above._k)
+        below = below.where(~F.array_contains("_path", F.col("k").cast("string")))
+        level = durable(below.select("k", "p", F.lit(depth).alias("level"), F.concat("_path", path).alias("path")), "level")
+        found = found.unionByName(level)
+    return found.select("k", "p", "level", F.array_join("path", delimiter).alias("branch"))

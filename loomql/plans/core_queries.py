@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from loomql.plans import packed_queries
 from loomql.sources.tables import table
 
-MODULES = ("relational", "aggregation", "joins", "scalars", "fuzzy_queries", "sampling_dml", "streams", "extras")
+MODULES = ("relational", "aggregation", "joins", "scalars", "fuzzy_queries", "sampling_dml", "streams", "extras", "further")
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

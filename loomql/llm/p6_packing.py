@@ -2,8 +2,9 @@
 
 Texts are spread over partitions by the hash of their id and packed by best-fit decreasing. Dual
 feasible functions give each partition a lower bound on its containers: where it is met the
-partition is certified and done. Partitions with a gap release the texts of their containers that are not
-full, exchange them with a neighbour (two partitions become one pool) and run best-fit decreasing again; the
+partition is certified. Partitions with a gap release the texts of their containers that are not
+full, certified ones only those of their emptiest container (the part of a container by which each bound is rounded up); both exchange
+them with a neighbour (two partitions become one pool) and run best-fit decreasing again; the
 result is kept if it needs fewer containers. This repeats for ``rounds`` rounds, or until every pool is certified or one is left; a
 pool then holds what at most 2^rounds partitions released. Texts that stay in a pool with a gap are packed all the same: the rounds bound the
 work, never the result, and ``gap`` tells how far above its bound a pool is.
@@ -33,7 +34,7 @@ from loomql.session import durable
 from .tokens import VOCABULARY, token_counter
 
 ITEMS = 4_000
-ROUNDS = 3
+ROUNDS = 5
 MAX_CAPACITIES = 1000
 
 
@@ -102,7 +103,7 @@ def _pack_group(rows: pd.DataFrame) -> pd.DataFrame:
     at, left = best_fit_decreasing(sizes, capacity)
     part = rows["part"].iloc[0]
     return rows.assign(
-        container=[f"{part}.{b}" for b in at], room=left[at], gap=len(left) - lower_bound(sizes, capacity)
+        container=[f"{part}.{b}" for b in at], room=left[at], gap=len(left) - lower_bound(sizes, capacity), last=at == left.argmax()
     )
 
 
@@ -116,10 +117,11 @@ def _repack_group(rows: pd.DataFrame) -> pd.DataFrame:
     gap = min(old, len(left)) - lower_bound(sizes, capacity)
     if len(left) < old:
         rows = rows.assign(container=[f"r{turn}.{pool}.{b}" for b in at], room=left[at])
-    return rows.assign(gap=gap)
+    emptiest = rows.loc[rows["room"].idxmax(), "container"]
+    return rows.assign(gap=gap, last=rows["container"] == emptiest)
 
 
-_COLUMNS = "capacity_id int, capacity long, part long, doc_id long, piece int, size long, container string, room long, gap long"
+_COLUMNS = "capacity_id int, capacity long, part long, doc_id long, piece int, size long, container string, room long, gap long, last boolean"
 
 
 def sizes_of(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -149,7 +151,7 @@ def pack(sizes: DataFrame, capacities: DataFrame, rounds: int = ROUNDS, items: i
         "capacity_id", "capacity", F.lit(-1).cast("long").alias("part"), "doc_id",
         F.explode(F.sequence(F.lit(1), F.col("over"))).alias("piece"), F.col("capacity").alias("size"),
     ).select(
-        "*", F.concat_ws(".", F.lit("d"), "doc_id", "piece").alias("container"), F.lit(0).cast("long").alias("room"), F.lit(0).cast("long").alias("gap")
+        "*", F.concat_ws(".", F.lit("d"), "doc_id", "piece").alias("container"), F.lit(0).cast("long").alias("room"), F.lit(0).cast("long").alias("gap"), F.lit(False).alias("last")
     )
     items_ = each.withColumn("over", over).select(
         "capacity_id", "capacity", F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(parts)).alias("part"), "doc_id",
@@ -160,7 +162,7 @@ def pack(sizes: DataFrame, capacities: DataFrame, rounds: int = ROUNDS, items: i
     for turn in range(1, rounds + 1):
         if parts == 1:
             break
-        open_ = (F.col("gap") > 0) & (F.col("room") > 0)
+        open_ = ((F.col("gap") > 0) | F.col("last")) & (F.col("room") > 0)
         released = packed.where(open_)
         if released.isEmpty():
             break

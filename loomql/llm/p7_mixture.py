@@ -37,6 +37,7 @@ from .tokens import VOCABULARY, token_counter
 LEVELS = 4096
 SEED = 20
 MAX_SOURCES = 1000
+BROADCAST_ROWS = 500_000
 
 
 def capped_mean(mean: float, cap: int) -> float:
@@ -144,10 +145,12 @@ def plan(texts: DataFrame, targets: DataFrame) -> list[dict]:
 def counted(texts: DataFrame, planned: list[dict]) -> DataFrame:
     """``texts`` that are taken, with the number of times (column ``times``): met by source and level.
 
-    The table of times holds at most sources x levels rows; the planner broadcasts it by its size or shuffles it.
+    The table of times holds at most sources x levels rows. Its size is known here: up to ``BROADCAST_ROWS`` rows it is
+    broadcast, so that texts are not shuffled for it; beyond that both sides are shuffled by source and level.
     """
     rows = [(w["source"], level, k) for w in planned for level, k in enumerate(w["times"]) if k]
-    return texts.join(texts.sparkSession.createDataFrame(rows, "source string, level int, times int"), ["source", "level"])
+    times = texts.sparkSession.createDataFrame(rows, "source string, level int, times int")
+    return texts.join(F.broadcast(times) if len(rows) <= BROADCAST_ROWS else times, ["source", "level"])
 
 
 def mix(docs: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:

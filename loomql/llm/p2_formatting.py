@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomql.operators.skew import hot_cold_join
-from loomql.session import durable, stages
+from loomql.session import durable, durable_by, stages
 
 BROADCAST_ROWS = 50_000
 BROADCAST_CHARACTERS = 4_000_000
@@ -75,7 +75,9 @@ def encode_columns(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
         cells = F.array(*[F.struct(F.lit(i).alias("fld"), F.col(f"_v{i}").alias("val"), F.lit(kinds[fields[i]] != "string").alias("as_is")) for i in worded])
         if not worded:
             cells = F.array().cast("array<struct<fld:int,val:string,as_is:boolean>>")
-        words = durable(dictionary(out.select(F.explode(cells).alias("c")).select("c.*")), "dictionary")
+        # one folder for each field, so that a field reads only its own part
+        words = dictionary(out.select(F.explode(cells).alias("c")).select("c.*"))
+        words = df.sparkSession.read.schema(words.schema).parquet(durable_by(words, "fld", "dictionary"))
         scope.keep(words)
     sizes = {r[0]: r[1:] for r in words.groupBy("fld").agg(F.count(F.lit(1)), F.sum(F.length("val"))).collect()}  # one row per field
     budget, room = BROADCAST_ROWS, BROADCAST_CHARACTERS

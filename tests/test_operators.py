@@ -1,16 +1,22 @@
 """Operators against brute force on literal tables."""
 
-import pandas as pd
+import os
 import random
+import sqlite3
 
+import pandas as pd
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as hs
 from pyspark.sql import functions as F
 
-from loomql.operators import dml, progressive, rewrites, special_joins
+from loomql.operators import dml, progressive, reshaping, rewrites, special_joins
+from loomql.operators.cursor import Cursor
 from loomql.operators.sampling import tablesample
 from loomql.operators.skew import hot_cold_join
+from loomql.plans import explain
+from loomql.session import durable, stages
+from loomql.sources import foreign, sinks
 
 
 def lev(a, b):
@@ -188,3 +194,106 @@ def test_counted_join_counts_both_sides(spark):
     out, seen = special_joins.counted_join(a, b, lambda p, q: p.x > q.y)
     assert len(out.collect()) == 6
     assert [seen[n].get["rows"] for n in ("left", "right", "found")] == [4, 6, 6]
+
+
+def test_progressive_policies_give_every_pair_once(spark):
+    a, b = spark.range(40).toDF("x"), spark.range(30).toDF("y")
+    want = {(i, j) for i in range(4) for j in range(3)}
+    for policy in progressive.POLICIES:
+        parts = list(progressive.progressive_join(a, b, lambda p, q: p.x == q.y, 4, 3, policy, must_explore=2, left_cache=1, right_cache=1, least=2, most=1))
+        assert {p for p, _, _ in parts} == want and len(parts) == len(want), policy
+        assert sum(n for _, n, _ in parts) == 30 and progressive.collect_progressive(iter(parts)).count() == 30
+    with pytest.raises(ValueError):
+        next(progressive.progressive_join(a, b, lambda p, q: p.x == q.y, 2, 2, "unknown"))
+
+
+def test_sorted_progressive_join_comes_in_key_order(spark):
+    a = spark.range(100).selectExpr("id AS k", "id AS v")
+    b = spark.range(50, 150).selectExpr("id AS k", "id AS w")
+    got = [sorted(r.k for r in rows.collect()) for _, _, rows in progressive.sorted_progressive_join(a, b, ["k"], 4)]
+    assert sum(got, []) == list(range(50, 100))
+
+
+def test_cursor(spark):
+    cur = Cursor(spark.range(10).toDF("k"), ["k"])
+    keys = lambda df: sorted(r.k for r in df.collect())
+    assert keys(cur.fetch(3)) == [0, 1, 2] and keys(cur.fetch(0)) == [2] and keys(cur.fetch(-2)) == [0, 1]
+    assert cur.at == 1 and cur.move(4) == 4 and keys(cur.fetch(1)) == [5]
+    assert keys(cur.fetch(None)) == [6, 7, 8, 9] and cur.at == 11 and keys(cur.fetch(1)) == []
+    assert cur.move(-3) == 3 and keys(cur.fetch(0)) == [7] and keys(cur.absolute(-1)) == [9] and keys(cur.fetch(-99)) == list(range(9))
+    cur.close()
+    with pytest.raises(ValueError):
+        cur.fetch(1)
+
+
+def test_stored_copies(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c"), (9, "d")], "k int, v string")
+    parts = sinks.list_partitioned(df, "k", {"low": [1, 2], "none": [None]}, "t", "rest")
+    assert {r.v: r.part for r in parts.collect()} == {"a": "low", "b": "low", "c": "none", "d": "rest"}
+    with pytest.raises(Exception, match="no partition"):
+        sinks.list_partitioned(df, "k", {"low": [1]}, "t").count()
+    assert sorted(r.id for r in sinks.with_identity(df.repartition(3), "id", 5, -2).collect()) == [-1, 1, 3, 5]
+    assert sinks.create_table_as(df, "copy_of_df", False).count() == 0 and spark.table("copy_of_df").columns == ["k", "v"]
+    odd = spark.createDataFrame([("<a&b>", None)], "x string, y string")
+    assert sinks.rows_to_xml(odd, nulls=True).first()[0] == '<row><x>&lt;a&amp;b&gt;</x><y xsi:nil="true"/></row>'
+
+
+def test_upsert_rejects_a_key_given_twice(spark):
+    t = spark.createDataFrame([(1, "a")], "k int, v string")
+    with pytest.raises(ValueError):
+        dml.upsert(t, spark.createDataFrame([(1, "x"), (1, "y")], "k int, v string"), ["k"], ["v"])
+    twice_null = spark.createDataFrame([(None, "x"), (None, "y")], "k int, v string")
+    assert dml.upsert(t, twice_null, ["k"], ["v"]).count() == 3
+
+
+def test_hierarchy_of_any_depth(spark):
+    chain = spark.createDataFrame([(i, i - 1 if i else None) for i in range(12)] + [(50, 51), (51, 50)], "k int, p int")
+    rows = {r.k: r.level for r in reshaping.connect_by(chain, "k", "p", 0, "~").collect()}
+    assert rows == {i: i for i in range(12)}
+    assert reshaping.connect_by(chain, "k", "p", 0, "~", max_depth=2).count() == 3
+    assert {r.branch for r in reshaping.connect_by(chain, "k", "p", 50, "~").collect()} == {"50", "50~51"}
+
+
+def test_plans(spark):
+    buckets = [sinks.bucketed(spark.range(100).toDF("k"), ["k"], 4, n) for n in ("left_side", "right_side")]
+    joined = buckets[0].hint("merge").join(buckets[1], "k")
+    assert "SortMergeJoin" in explain.nodes(joined) and "Exchange" not in explain.nodes(joined)
+    for form in ("text", "json", "yaml", "xml"):
+        assert "SortMergeJoin" in explain.explain(joined, form, analyze=form == "text")
+    with pytest.raises(ValueError):
+        explain.explain(joined, "html")
+
+
+def test_foreign_filters_are_sent(spark, tmp_path):
+    path = str(tmp_path / "x.db")
+    with sqlite3.connect(path) as con:
+        con.execute("CREATE TABLE t (a INTEGER, b TEXT)")
+        con.executemany("INSERT INTO t VALUES (?, ?)", [(i, f"v{i % 3}") for i in range(50)] + [(None, None)])
+    df = foreign.foreign_table(spark, path, "SELECT * FROM t ORDER BY rowid", "a int, b string", parts=7)
+    assert df.count() == 51 and df.where("a > 40 AND b = 'v1'").count() == 3 and df.where("b IS NULL").count() == 1
+    reader = foreign.ForeignReader({"path": path, "query": "SELECT * FROM t"}, ["a", "b"])
+    kept = list(reader.pushFilters([foreign.EqualTo(("b",), "v1"), foreign.GreaterThan(("a",), None)]))
+    assert reader.sent == [("b", "=", "v1")] and len(kept) == 1
+
+
+def test_stages_are_deleted(spark):
+    with stages(spark) as outer:
+        with stages(spark) as inner:
+            a, b = durable(spark.range(3), "a"), durable(spark.range(4), "b")
+            inner.keep(b)
+        assert b.count() == 4 and len(outer.paths) == 1
+        with pytest.raises(Exception):
+            a.select(F.col("id") + 1).collect()
+    assert not os.path.exists(outer.paths[0].removeprefix("file://"))
+
+
+def test_integers_that_do_not_fit_raise(spark):
+    with pytest.raises(Exception, match="CAST_OVERFLOW"):
+        spark.sql("SELECT CAST(40000 AS SMALLINT)").collect()
+    with pytest.raises(Exception, match="ARITHMETIC_OVERFLOW"):
+        spark.sql("SELECT 2147483647 + a FROM VALUES (1) v(a)").collect()
+
+
+def test_a_generator_inside_an_expression_raises(spark):
+    with pytest.raises(Exception, match="GENERATOR"):
+        spark.sql("SELECT CASE WHEN true THEN explode(array(1, 2)) END").collect()

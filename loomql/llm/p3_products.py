@@ -130,11 +130,15 @@ def _glued(run: Column) -> Column:
 def _codes(read: DataFrame) -> DataFrame:
     """(id, code, base): the code of each listing that has one."""
     runs = read.select("id", "maker", F.posexplode("runs").alias("at", "code"))
-    written = runs.groupBy("code", "maker").agg(F.count(F.lit(1)).alias("n")).groupBy("code").agg(F.sum("n").alias("n"), F.max("n").alias("top"))
+    written = runs.groupBy("code", "maker").agg(F.count(F.lit(1)).alias("n")).groupBy("code").agg(
+        F.sum("n").alias("n"), F.max(F.when(F.col("maker") != "", F.col("n"))).alias("top"), F.sum(F.when(F.col("maker") != "", F.col("n"))).alias("named")
+    )
     # a word that lost the space before a number is no code: its letters are frequent as a word of their own
     plain = read.select(F.explode(F.array_union("words", "labels")).alias("letters")).groupBy("letters").agg(F.count(F.lit(1)).alias("as_word"))
     written = written.withColumn("letters", F.regexp_extract("code", "^[a-z]+", 0)).join(plain, "letters", "left")
-    written = written.where((2 * F.col("top") > F.col("n")) & (F.coalesce("as_word", F.lit(0)) <= F.col("n")))
+    # what several makers write alike is no code of one of them
+    one_maker = F.col("named").isNull() | (2 * F.col("top") >= F.col("named"))
+    written = written.where(one_maker & (F.coalesce("as_word", F.lit(0)) <= F.col("n")))
     written = durable(written.select("code", "n", _base(F.col("code")).alias("base")), "written")
     # a run written once that begins or ends a known code is that code, damaged
     ends = F.concat(

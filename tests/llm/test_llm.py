@@ -183,6 +183,12 @@ def test_p3_codes_of_any_format(spark):
     assert p3_pairs(spark, ["Acme WH-1000XM4 headphones", "Acme wh1000xm4 headset", "Acme WH-1000XM5 headphones"]) == {(0, 1)}
 
 
+def test_p3_codes_without_or_with_different_brands(spark):
+    rows = [("Zolivaro XR-120 kettle", None, b, None, None, 1) for b in (None, "Acme", "Acme")] + [("Lamp QX-77 red", None, b, None, None, 1) for b in ("Acme", "Other")]
+    got = {(int(r.id_a), int(r.id_b)) for r in p3.pairs(p3.group(offers(spark, rows))).collect()}
+    assert got == {(0, 1), (0, 2), (1, 2), (3, 4)}
+
+
 def test_p3_lost_spaces_and_damaged_codes(spark):
     whole = ["Acme Zolivaro KC-6852/C kettle Red", "Acme Zolivaro kc6852c kettle", "Acme Zolivaro KC-6852/D kettle Blue"]
     assert p3_pairs(spark, [*whole, "AcmeKC6852C kettle", "Acme kc-6852ckettle", "Zolivaro KC-68'52 kettle red"]) == set(itertools.combinations([0, 1, 3, 4, 5], 2))

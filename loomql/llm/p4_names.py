@@ -9,13 +9,14 @@ name and stands before a fifth of its surnames like that one, tells the order on
 Suffix blocking. The suffixes of the surname (read forwards and backwards, so that a typo at one end leaves the
 other) are indexed together with the initial, and those of the given name together with either end of
 the surname. A suffix is never used alone, and one that is still common after this refinement is kept as it is
-and only paired block by block, so which names meet does not depend on how many share a suffix. Candidates are compared
-by the longest-common-subsequence ratio of their surnames; given and middle names must agree (equal,
+and only paired block by block, so which names meet does not depend on how many share a suffix. Candidates are compared, where they meet
+and before anything is written, by a bound of the ratio and then by the longest-common-subsequence ratio of their surnames; given and middle names must agree (equal,
 nickname, initial, abbreviation or typo), generations and kinds must not differ. Two spellings more than one
 letter apart that both occur as surnames of several persons are different surnames, two given names of the list are different names.
 
-Scale: distinct names only; the join is an equi-join on refined suffixes and blocks between author names and all names;
-the result returns to the rows by the distinct name, spread by the hot/cold split.
+Scale: distinct names only, by their number; the join is an equi-join on refined suffixes and blocks between author names and all names;
+the result returns to the rows by the distinct name, spread by the hot/cold split. The pairs that meet grow with the square of
+the names under one key, in time; on disk are only the keyed names, their copies for the blocks and the pairs that agree.
 
 Defined cases: null, blank and one-part names give no link; a surname of one letter gives none (it is an initial); a last token of two
 letters is read both as surname and as initials; initials that fit two listed
@@ -25,11 +26,13 @@ repeated rows give one row each; nulls in other columns do not matter.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomql.operators.skew import hot_cold_join
-from loomql.session import durable, stages
+from loomql.session import durable, shuffles_removed, stages
 
 from .text import fold, lcs_ratio
 
@@ -56,6 +59,7 @@ KNOWN_SURNAME_INITIALS = 3
 SHORT_SHARE = 0.2
 BROADCAST_NAMES = 200_000
 NAMES_PER_BLOCK = 400
+HOT_KEYS = 1000
 ROWS_PER_BLOCK = 1000
 
 
@@ -72,7 +76,7 @@ def _in(t: Column, words: str) -> Column:
 
 
 def read_names(names: DataFrame) -> DataFrame:
-    """(name) -> (name, toks, kind, gen): folded tokens without roles and particles, in given-first order."""
+    """(id, name, listed) -> (id, listed, toks, kind, gen): folded tokens without roles and particles, in given-first order."""
     spaced = F.regexp_replace("name", r"(?<=\p{Ll}{2})(?=\p{Lu}\p{Ll})", " ")  # a lost space between two names
     text = F.regexp_replace(fold(spaced), r"\bet\s+al\b\.?|\bph\.?\s?d\b\.?|,\s*m\.d\.", " ")
     text = F.regexp_replace(text, r"\((author|editor|ed\.?|translator|illustrator)\)", " ")
@@ -89,7 +93,7 @@ def read_names(names: DataFrame) -> DataFrame:
     gen = F.get(F.filter(toks, lambda t: _in(t, GENERATIONS)), F.lit(0))
     gen = F.when(gen == "junior", "jr").when(gen == "senior", "sr").otherwise(gen)
     plain = F.filter(toks, lambda t: ~_in(t, f"{ROLES}|{PARTICLES}|{GENERATIONS}"))
-    return names.select("name", plain.alias("toks"), named.alias("kind"), gen.alias("gen"))
+    return names.select("id", "listed", plain.alias("toks"), named.alias("kind"), gen.alias("gen"))
 
 
 def _short_forms(before: DataFrame, learned: DataFrame, known: DataFrame) -> DataFrame:
@@ -110,8 +114,8 @@ def _short_forms(before: DataFrame, learned: DataFrame, known: DataFrame) -> Dat
     return share.where(F.col("share") >= SHORT_SHARE).select("g").distinct()
 
 
-def _parts(read: DataFrame, nicknames: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Surname, given and middle name of each name; and the table of known given names."""
+def _orgless(read: DataFrame) -> DataFrame:
+    """The names read, those of organisations reduced to the person's."""
     all_kinds = "|".join(KINDS.values())
     # topic words of organisations: what follows "of" or "for" after a kind
     link_at = F.array_position(F.transform("toks", lambda t: _in(t, "of|for|f")), True)
@@ -119,15 +123,18 @@ def _parts(read: DataFrame, nicknames: DataFrame) -> tuple[DataFrame, DataFrame]
         F.explode(F.slice("toks", link_at + 1, F.when(link_at > 0, F.size("toks")).otherwise(0))).alias("t")
     )
     topics = topics.groupBy("t").count().where("count > 1").select("t")
-    words = read.where(F.col("kind").isNotNull()).select("name", "kind", "gen", F.posexplode("toks").alias("i", "t"))
+    words = read.where(F.col("kind").isNotNull()).select("id", "listed", "kind", "gen", F.posexplode("toks").alias("i", "t"))
     words = words.where(~_in(F.col("t"), all_kinds) & ~(_in(F.col("t"), LINKS) & (F.col("i") > 0)))
     persons_of = (
-        words.join(topics, "t", "left_anti").groupBy("name", "kind", "gen")
+        words.join(topics, "t", "left_anti").groupBy("id", "listed", "kind", "gen")
         .agg(F.sort_array(F.collect_list(F.struct("i", "t"))).alias("toks"))
-        .select("name", "kind", "gen", F.transform("toks", lambda x: x["t"]).alias("toks"))
+        .withColumn("toks", F.transform("toks", lambda x: x["t"]))
     )
-    orgless = read.where(F.col("kind").isNull()).select("name", "kind", "gen", "toks").unionByName(persons_of)
-    orgless = durable(orgless, "orgless")
+    return read.where(F.col("kind").isNull()).unionByName(persons_of)
+
+
+def _parts(orgless: DataFrame, nicknames: DataFrame) -> DataFrame:
+    """Surname, given and middle name of each name, once for each of its ``readings``."""
     # given names: the list's, and first tokens that occur before many last tokens
     nick = nicknames.select(fold("nickname").alias("nick"), fold("given_name").alias("given")).where("nick is not null and given is not null")
     before = durable(
@@ -153,11 +160,11 @@ def _parts(read: DataFrame, nicknames: DataFrame) -> tuple[DataFrame, DataFrame]
         nick.select(F.col("nick").alias("t"), F.lit(False).alias("is_known"), F.col("given").alias("as_given"))
     ).groupBy("t").agg(F.max("is_known").alias("is_known"), F.collect_set("as_given").alias("as_given"))
     spelled = durable(spelled, "spelled")
-    toks = orgless.select("name", F.posexplode("toks").alias("i", "t"))
+    toks = orgless.select("id", "listed", "kind", "gen", F.posexplode("toks").alias("i", "t"))
     # the given-name table follows the relative threshold above (at most 1/0.0008 names) and the list
     small = spelled.count() <= BROADCAST_NAMES
     toks = toks.join(F.broadcast(spelled), "t", "left") if small else hot_cold_join(toks, spelled, ["t"], None, "left")
-    ordered = toks.groupBy("name").agg(
+    ordered = toks.groupBy("id", "listed", "kind", "gen").agg(
         F.sort_array(F.collect_list(F.struct("i", "t", F.coalesce("is_known", F.lit(False)).alias("known"), "as_given"))).alias("a")
     )
     is_given = lambda x: (F.length(x["t"]) <= 2) | x["as_given"].isNotNull()
@@ -169,15 +176,18 @@ def _parts(read: DataFrame, nicknames: DataFrame) -> tuple[DataFrame, DataFrame]
     # a last token of two letters with a vowel may be initials or a surname: both readings are kept
     end = F.get("a", F.size("a") - 1)
     short_surname = (F.length(end["t"]) == 2) & end["t"].rlike("[aeiouy]") & end["as_given"].isNull() & (end["i"] != longest["i"])
-    parts = (
+    return (
         ordered.where(F.size("a") >= 2)
-        .withColumn("at", F.explode(F.array_compact(F.array(longest["i"], F.when(short_surname, end["i"])))))
+        .withColumn("every", F.array_compact(F.array(longest["i"], F.when(short_surname, end["i"]))))
+        .withColumn("at", F.explode("every"))
         .withColumn("s", F.get(F.filter("a", lambda x: x["i"] == F.col("at")), F.lit(0))["t"])
         .withColumn("g", F.filter("a", lambda x: x["i"] != F.col("at")))
-        .select("name", "s", F.get("g", F.lit(0)).alias("g"), F.get("g", F.lit(1)).alias("m"))
+        .select(
+            "id", "listed", "kind", "gen", F.size("every").alias("readings"), "s",
+            F.get("g", F.lit(0)).alias("g"), F.get("g", F.lit(1)).alias("m"),
+        )
         .where(F.length("s") >= 2)
     )
-    return parts.join(orgless.select("name", "kind", "gen"), "name"), known
 
 
 def _initials(g: Column) -> Column:
@@ -187,29 +197,52 @@ def _initials(g: Column) -> Column:
 
 
 def _keys(parts: DataFrame) -> DataFrame:
-    """(name, key): refined suffixes; see the module docstring."""
+    """(name, key, listed, s, g, m, gen, known_surname): each reading under the refined suffixes of all its name's readings.
+
+    Names of different kinds have no key in common. A name that is given as itself only has no ``as_given`` here.
+    """
     s, back = F.col("s"), F.reverse("s")
     formal = F.array_distinct(F.concat(F.array(F.col("g.t")), F.coalesce(F.col("g.as_given"), F.array())))
     long_given = F.filter(formal, lambda x: F.length(x) >= 4)
     tail = lambda x, n: F.substring(x, -n, n)
+    kind = F.coalesce(F.concat(F.lit("|"), "kind"), F.lit(""))
+
+    by_initial = F.transform(_initials(F.col("g")), lambda i: F.concat(F.lit("s"), tail(s, 5), i, kind))
+    by_initial_back = F.transform(_initials(F.col("g")), lambda i: F.concat(F.lit("r"), tail(back, 5), i, kind))
+    by_given = F.transform(long_given, lambda g: F.concat(F.lit("g"), tail(g, 4), F.substring(s, 1, 3), kind))
+    by_given_back = F.transform(long_given, lambda g: F.concat(F.lit("h"), tail(g, 4), tail(s, 3), kind))
+    as_given = lambda x: F.when(~x["known"] | (F.size(x["as_given"]) > 1), x["as_given"])
+    short = lambda x: F.when(x.isNotNull(), F.struct(x["t"].alias("t"), x["known"].alias("known"), as_given(x).alias("as_given")))
+    keyed = parts.select(
+        F.col("id").alias("name"), "readings", "listed", "s", short(F.col("g")).alias("g"), short(F.col("m")).alias("m"), "gen", "known_surname",
+        F.concat(by_initial, by_initial_back, by_given, by_given_back).alias("keys"),
+    )
+    twice = keyed.where("readings > 1")
+    both = twice.groupBy("name").agg(F.flatten(F.collect_list("keys")).alias("keys"))
+    keyed = keyed.where("readings = 1").unionByName(twice.drop("keys").join(both, "name"))
+    return keyed.select("name", F.explode(F.array_distinct("keys")).alias("key"), "listed", "s", "g", "m", "gen", "known_surname")
 
-    by_initial = F.transform(_initials(F.col("g")), lambda i: F.concat(F.lit("s:"), tail(s, 5), F.lit("|"), i))
-    by_initial_back = F.transform(_initials(F.col("g")), lambda i: F.concat(F.lit("r:"), tail(back, 5), F.lit("|"), i))
-    by_given = F.transform(long_given, lambda g: F.concat(F.lit("g:"), tail(g, 4), F.lit("|"), F.substring(s, 1, 3)))
-    by_given_back = F.transform(long_given, lambda g: F.concat(F.lit("h:"), tail(g, 4), F.lit("|"), tail(s, 3)))
-    return parts.select("name", F.explode(F.concat(by_initial, by_initial_back, by_given, by_given_back)).alias("key")).distinct()
 
+def _candidates(keys: DataFrame, listed: str | DataFrame, block: int = NAMES_PER_BLOCK) -> DataFrame:
+    """(a, b): every listed name with every other name, once for each key they share; further columns of ``keys`` as ``_a`` and ``_b``.
 
-def _candidates(keys: DataFrame, listed: DataFrame, block: int = NAMES_PER_BLOCK) -> DataFrame:
-    """(a, b): every listed name with every other name of each of its keys, in blocks of about ``block`` names a side."""
-    common = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block)
-    common = durable(common.withColumn("blocks", F.ceil(F.col("n") / block).cast("int")), "common")
-    marked = hot_cold_join(keys, common, ["key"], "n", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    ``listed`` is a column of ``keys`` or a table of names. A key is paired in blocks of ``block`` names a side, or of as many
+    that a block has a ``1 / HOT_KEYS`` part of the pairs of all common keys: at most ``HOT_KEYS`` keys are cut (a proven bound
+    on the broadcast), and the copies of their names for the blocks grow as the square root of the pairs.
+    """
+    sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block)
+    common = durable(sizes, "common")
+    pairs = common.agg(F.sum(F.col("n").cast("double") * F.col("n"))).first()[0] or 0
+    size = max(block, (pairs / HOT_KEYS) ** 0.5)
+    cut = F.broadcast(common.where(F.col("n") > size).select("key", F.ceil(F.col("n") / size).cast("int").alias("blocks")))
     at, every = F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int"), F.sequence(F.lit(0), F.col("blocks") - 1)
-    marked = durable(marked.select("name", "key", at.alias("at"), every.alias("every")), "marked")
-    left = marked.join(listed, "name").select("key", F.col("at").alias("i"), F.explode("every").alias("j"), F.col("name").alias("a"))
-    right = marked.select("key", F.explode("every").alias("i"), F.col("at").alias("j"), F.col("name").alias("b"))
-    return left.join(right, ["key", "i", "j"]).where("a <> b").select("a", "b").distinct()
+    marked = keys.join(cut, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    own = marked.where(listed) if isinstance(listed, str) else marked.join(listed, "name", "left_semi")
+    with_ = [c for c in keys.columns if c not in ("name", "key", listed if isinstance(listed, str) else None)]
+    side = lambda n: [F.col("name").alias(n), *(F.col(c).alias(f"{c}_{n}") for c in with_)]
+    left = own.select("key", at.alias("i"), F.explode(every).alias("j"), *side("a"))
+    right = marked.select("key", F.explode(every).alias("i"), at.alias("j"), *side("b"))
+    return left.join(right, ["key", "i", "j"]).where("a <> b").drop("key", "i", "j")
 
 
 def _agree(a: str, b: str, ratio: str) -> Column:
@@ -233,43 +266,64 @@ def _agree(a: str, b: str, ratio: str) -> Column:
     )
 
 
-def same_names(names: DataFrame, listed: DataFrame, nicknames: DataFrame) -> DataFrame:
-    """(a, b): a distinct name of ``listed`` and another distinct name of ``names`` that mean the same.
+def _with_ratios(pairs: DataFrame, ratio: Callable[[str, str], Column]) -> DataFrame:
+    named = {"s": "s_{0}", "g": "g_{0}.t", "m": "m_{0}.t"}
+    return pairs.withColumns({f"{c}_ratio": ratio(x.format("a"), x.format("b")) for c, x in named.items()})
+
+
+def _most_ratio(a: str, b: str) -> Column:
+    """What ``lcs_ratio`` is at most: |a| + |b| - 2 LCS is at least the edit distance, and that the difference in length."""
+    whole = F.length(a) + F.length(b)
+    return 1 - F.levenshtein(a, b) / whole + 1e-9
+
+
+def _means_same() -> Column:
+    """Whether the readings of a pair mean the same, by its ratios; with bounds from above in their place it leaves out nothing."""
+    ratio = F.col("s_ratio")
+    two_known = F.col("known_surname_a") & F.col("known_surname_b")
+    clear = (F.length("g_a.t") > 1) & (F.length("g_b.t") > 1) & (F.col("g_ratio") >= 0.99)
+    surnames = (ratio >= LEAST_RATIO) & ((ratio >= ONE_TYPO) | ~two_known) & ((ratio >= SURNAME_RATIO) | clear)
+    middle = F.col("m_a").isNull() | F.col("m_b").isNull() | _agree("m_a", "m_b", "m_ratio")
+    generation = F.coalesce(F.col("gen_a") == F.col("gen_b"), F.lit(True))
+    return generation & surnames & _agree("g_a", "g_b", "g_ratio") & middle
+
+
+def _may_meet() -> Column:
+    """Left out before any distance: two given names that are given as themselves only, and surnames of too different lengths."""
+    itself = lambda x: F.col(f"{x}.known") & F.col(f"{x}.as_given").isNull() & (F.length(f"{x}.t") > 1)
+    longer = F.abs(F.length("s_a") - F.length("s_b"))
+    near = longer <= (1 - LEAST_RATIO) * (F.length("s_a") + F.length("s_b")) + 0.001
+    return ((F.col("g_a.t") == F.col("g_b.t")) | ~(itself("g_a") & itself("g_b"))) & near
+
+
+def same_names(names: DataFrame, nicknames: DataFrame) -> DataFrame:
+    """(a, b): ids of a distinct name that is listed and of another distinct name that mean the same.
 
-    Both inputs have one column ``name`` of distinct strings; ``listed`` is part of ``names``.
+    ``names`` has the distinct strings ``name``, their numbers ``id`` and whether they are ``listed``. Each stage
+    deletes the tables of the one before, so that the disk holds one of them at a time.
     """
-    parts, _ = _parts(durable(read_names(names), "read"), nicknames)
-    parts = durable(parts, "parts")
-    surnames = parts.groupBy("s").agg(F.count_distinct(F.substring("g.t", 1, 1)).alias("persons"), F.count(F.lit(1)).alias("n"))
-    parts = durable(
-        hot_cold_join(parts, durable(surnames, "surnames"), ["s"], "n", "inner").withColumn("known_surname", F.col("persons") >= KNOWN_SURNAME_INITIALS).drop("persons"), "parts2"
-    )
-    keys = durable(_keys(parts), "keys")
-    pairs = durable(_candidates(keys, listed), "candidates")
-    side = lambda n: parts.select(*[F.col(c).alias(n if c == "name" else f"{c}_{n}") for c in parts.columns])
+    spark = names.sparkSession
+    with stages(spark) as scope:
+        orgless = durable(_orgless(durable(read_names(names), "read")), "orgless")
+        scope.keep(orgless)
+    with stages(spark) as scope:
+        parts = durable(_parts(orgless, nicknames), "parts")
+        surnames = parts.groupBy("s").agg(F.count_distinct(F.substring("g.t", 1, 1)).alias("persons"), F.count(F.lit(1)).alias("n"))
+        known = hot_cold_join(parts, durable(surnames, "surnames"), ["s"], "n", "inner")
+        parts = durable(known.withColumn("known_surname", F.col("persons") >= KNOWN_SURNAME_INITIALS).drop("persons"), "parts2")
+        scope.keep(parts)
+    with stages(spark) as scope:
+        met = _candidates(_keys(parts), "listed").where(_may_meet())
+        for ratio in (_most_ratio, lcs_ratio):
+            met = _with_ratios(met, ratio).where(_means_same()).drop("s_ratio", "g_ratio", "m_ratio")
+        pairs = durable(met.select("a", "b").distinct(), "candidates")
+        scope.keep(pairs)
+    side = lambda n: parts.select(*[F.col(c).alias(n if c == "id" else f"{c}_{n}") for c in parts.columns])
     full = hot_cold_join(hot_cold_join(pairs, side("a"), ["a"], None, "inner"), side("b"), ["b"], pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n")), "inner")
-    # |a| + |b| - 2 LCS bounds the edit distance, so this leaves out only what the ratio would
-    full = full.where(
-        (F.levenshtein("s_a", "s_b") <= (1 - LEAST_RATIO) * (F.length("s_a") + F.length("s_b")) + 0.001)
-        & (F.col("kind_a").eqNullSafe(F.col("kind_b")))
-        & (F.coalesce(F.col("gen_a") == F.col("gen_b"), F.lit(True)))
-    )
-    full = durable(
-        full.withColumn("s_ratio", lcs_ratio("s_a", "s_b"))
-        .withColumn("g_ratio", lcs_ratio("g_a.t", "g_b.t"))
-        .withColumn("m_ratio", lcs_ratio("m_a.t", "m_b.t"))
-        .where(F.col("s_ratio") >= LEAST_RATIO)
-        .where((F.col("s_ratio") >= ONE_TYPO) | ~(F.col("known_surname_a") & F.col("known_surname_b"))),
-        "compared",
-    )
-    middle = F.col("m_a").isNull() | F.col("m_b").isNull() | _agree("m_a", "m_b", "m_ratio")
-    clear = (F.length("g_a.t") > 1) & (F.length("g_b.t") > 1) & (F.col("g_ratio") >= 0.99)
-    linked = full.where(
-        ((F.col("s_ratio") >= SURNAME_RATIO) | clear) & _agree("g_a", "g_b", "g_ratio") & middle
-    )
+    linked = _with_ratios(full, lcs_ratio).where(_means_same())
     # an initial that fits two different listed given names of the surname tells neither
     formal = lambda c: F.when(F.col(f"{c}.known"), F.col(f"{c}.t"))
-    linked = durable(linked.select("a", "b", "g_a", "g_b"), "linked")
+    linked = durable(linked.select("a", "b", "listed_b", "g_a", "g_b"), "linked")
     opening = F.when((F.length("g_a.t") > 1) & ~F.col("g_a.known"), F.substring("g_a.t", 1, 2))
     unclear = (
         linked.where(F.length("g_b.t") == 1).groupBy("b")
@@ -279,11 +333,11 @@ def same_names(names: DataFrame, listed: DataFrame, nicknames: DataFrame) -> Dat
         )
         .where("lo <> hi or (lo is null and lo2 <> hi2)").select("b")
     )
-    direct = durable(linked.join(unclear, "b", "left_anti").select("a", "b", (F.length("g_a.t") > 1).alias("hub")), "direct")
+    direct = durable(linked.join(unclear, "b", "left_anti").select("a", "b", "listed_b", (F.length("g_a.t") > 1).alias("hub")), "direct")
     # two spellings that both mean a listed name in full mean each other
-    hub = durable(direct.where("hub").select(F.col("a").alias("h"), "b").distinct(), "hub")
-    other = hub.join(listed, hub.b == listed.name, "left_semi").select("h", F.col("b").alias("a"))
-    met = hot_cold_join(hub, other, ["h"], None, "inner").select("a", "b").where("a <> b")
+    hub = durable(direct.where("hub").select(F.col("a").alias("h"), "b", "listed_b").distinct(), "hub")
+    other = hub.where("listed_b").select("h", F.col("b").alias("a"))
+    met = hot_cold_join(hub.drop("listed_b"), other, ["h"], None, "inner").select("a", "b").where("a <> b")
     return direct.select("a", "b").unionByName(met).distinct()
 
 
@@ -291,26 +345,24 @@ def link(books: DataFrame, authors: DataFrame, nicknames: DataFrame) -> DataFram
     """(id, name) x (id, name) -> (pair_kind, key_a, key_b): rows whose different names mean one author."""
     books = books.select(F.col("id").alias("id"), "name").where("name is not null and id is not null")
     authors = authors.select(F.col("id").alias("id"), "name").where("name is not null and id is not null")
-    book_names = books.groupBy("name").agg(F.count(F.lit(1)).alias("n"))
-    author_names = authors.groupBy("name").agg(F.count(F.lit(1)).alias("n"))
-    counts = durable(
-        book_names.select("name", F.col("n").alias("nb"), F.lit(0).alias("na"))
-        .unionByName(author_names.select("name", F.lit(0).alias("nb"), F.col("n").alias("na")))
-        .groupBy("name").agg(F.sum("nb").alias("nb"), F.sum("na").alias("na")),
-        "names",
+    rows = books.select("name", F.lit(1).alias("nb"), F.lit(0).alias("na")).unionByName(
+        authors.select("name", F.lit(0).alias("nb"), F.lit(1).alias("na"))
     )
-    with stages(counts.sparkSession) as scope:
-        pairs = durable(same_names(counts.select("name"), counts.where("na > 0").select("name"), nicknames), "pairs")
-        scope.keep(pairs)
-    # names on many author rows are cut into blocks of rows, so that no name gathers its ids in one place
-    blocks = counts.select(F.col("name").alias("a"), F.ceil(F.col("na") / ROWS_PER_BLOCK).cast("int").alias("blocks"))
-    cut = pairs.join(blocks, "a").select("a", "b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    meant = durable(
-        cut.groupBy("b").agg(F.collect_list(F.struct("a", "block")).alias("meant"))
-        .join(counts.select(F.col("name").alias("b"), (F.col("nb") + F.col("na")).alias("rows")), "b"),
-        "meant",
-    )
-    author_rows = authors.select(F.col("name").alias("a"), F.col("id").alias("key_b")).join(blocks, "a").select(
+    with shuffles_removed(books.sparkSession):
+        counts = rows.groupBy("name").agg(F.sum("nb").alias("nb"), F.sum("na").alias("na"))
+        counts = durable(counts.withColumn("id", F.monotonically_increasing_id()), "names")
+        with stages(counts.sparkSession) as scope:
+            pairs = durable(same_names(counts.select("id", "name", (F.col("na") > 0).alias("listed")), nicknames), "pairs")
+            scope.keep(pairs)
+        # names on many author rows are cut into blocks of rows, so that no name gathers its ids in one place
+        blocks = counts.where("na > 0").select("name", F.col("id").alias("a"), F.ceil(F.col("na") / ROWS_PER_BLOCK).cast("int").alias("blocks"))
+        cut = pairs.join(blocks.drop("name"), "a").select("a", "b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+        meant = durable(
+            cut.groupBy("b").agg(F.collect_list(F.struct("a", "block")).alias("meant")).withColumnRenamed("b", "id")
+            .join(counts.select("id", F.col("name").alias("b"), (F.col("nb") + F.col("na")).alias("rows")), "id").drop("id"),
+            "meant",
+        )
+    author_rows = authors.select("name", F.col("id").alias("key_b")).join(blocks, "name").select(
         "a", "key_b", F.pmod(F.xxhash64("key_b"), F.col("blocks")).cast("int").alias("block")
     )
 

@@ -201,6 +201,25 @@ def test_p3_rounds_until_nothing_changes(spark):
     assert p3_pairs(spark, titles + chain) == set(itertools.combinations([0, *range(2, 8)], 2))
 
 
+def test_p3_plans_do_not_grow_with_the_rounds(spark, monkeypatch):
+    """Each round reads as many tables as the round before, and no more queries run (the driver keeps something of each)."""
+    sets = [(0, "b", "p0", "s0", None, {"a0": "x"}, 1), (1, "b", "p1", "s1", None, {}, 1)]
+    sets += [(i, "b", None, f"s{i}", f"h{i}", {f"a{i - 2}": "x", f"a{i - 1}": "x"}, 1) for i in range(2, 7)]
+    table = p3.durable(spark.createDataFrame(sets, "set long, block string, product string, sig string, hint string, specs map<string,string>, n long"))
+    read = collections.defaultdict(list)
+    real = p3.durable
+
+    def counted(df, name="stage"):
+        read[name].append(df._jdf.queryExecution().optimizedPlan().collectLeaves().size())
+        return real(df, name)
+
+    monkeypatch.setattr(p3, "durable", counted)
+    assert {(r.set, r.product) for r in p3.resolve(table).collect()} == {(i, "p0") for i in range(2, 7)}
+    assert len(read["profiles"]) == 6 and len(set(read["profiles"][1:])) == 1
+    assert sum(map(len, read.values())) <= 3 * 6 + 3
+    assert {r["product"]: r["profile"] for r in p3._profiles(table.where("product is not null")).collect()} == {"p0": {"a0": "x"}, "p1": {}}
+
+
 def test_p3_a_hint_blocks_what_names_no_series(spark):
     rows = [("Acme Zolivaro AB-1234/C kettle Red", None, "Acme", None, "h", 1), ("Zolivaro ab1234c kettle", None, "Acme", None, "h", 1), ("good make, red", None, None, None, "h", 1), ("good make, red", "other", None, None, None, 1)]
     assert {(r.id_a, r.id_b) for r in p3.pairs(p3.group(offers(spark, rows))).collect()} == {("0", "1"), ("0", "2"), ("1", "2")}

@@ -3,7 +3,8 @@
 The result of every policy is the plain inner join; only the order of arrival differs. Both inputs are cut into blocks by
 a hash once and written with one folder for each block, so a pair reads its two folders and nothing else. Each pair is
 one Spark join, whose strategy the optimizer chooses; up to ``in_flight`` pairs run at a time. The driver keeps
-block numbers and match counts, which come with the write of a pair and cost no further job.
+block numbers and match counts, which come with the write of a pair and cost no further job. ``progressive_join`` takes any condition and
+compares all rows of a pair; ``progressive_edit_join`` is for keys within some edits and compares only keys that share a piece.
 
 Policies: ``block`` (outer block by outer block), ``ripple`` (growing squares), ``one_sided`` (explores each left
 block, then exploits those with the most matches, dropping a block after ``failures`` misses to the end
@@ -40,8 +41,8 @@ def _folders(df: DataFrame, block: Column, n: int) -> list[DataFrame]:
     return [spark.read.schema(schema).parquet(f"{path}/_block={i}") if i in there else spark.createDataFrame([], schema) for i in range(n)]
 
 
-def _hashed(df: DataFrame, n: int) -> list[DataFrame]:
-    return _folders(df, F.pmod(F.xxhash64(*df.columns), F.lit(n)).cast("int"), n)
+def _hashed(df: DataFrame, n: int, by: list[str] | None = None) -> list[DataFrame]:
+    return _folders(df, F.pmod(F.xxhash64(*(by or df.columns)), F.lit(n)).cast("int"), n)
 
 
 class _Queue:
@@ -133,13 +134,59 @@ def progressive_join(
     yield from _run(queue, lambda p: ls[p[0]].join(rs[p[1]], on(ls[p[0]], rs[p[1]])), in_flight)
 
 
-def _run(queue: _Queue, joined: Callable[[Pair], DataFrame], in_flight: int) -> Iterator[Part]:
-    """Pairs as the queue gives them, a few at a time, yielded in the order in which they were taken."""
+def progressive_edit_join(
+    left: DataFrame, right: DataFrame, left_key: str, right_key: str, k: int, left_blocks: int, right_blocks: int,
+    policy: str = "ripple", failures: int = 2, flip: bool = False, must_explore: int = 1,
+    left_cache: int | None = None, right_cache: int | None = None, least: int = 1, most: int = 4, in_flight: int = 4,
+) -> Iterator[Part]:
+    """``progressive_join`` on keys within ``k`` edits; the columns of the sides have different names.
+
+    Blocks are cut by the key, so each pair of distinct keys is looked at in one pair of blocks only. Of a pair of blocks the keys that
+    match are stored; ``rows`` joins its two blocks by them (equi-joins, no text is compared again), so results, which can be many times
+    the input, are not written before they are asked for.
+    """
+    from loomql.operators.special_joins import left_pieces, near_pieces, right_pieces
+
+    if policy not in POLICIES:
+        raise ValueError(policy)
+    if flip:
+        turned = progressive_edit_join(
+            right, left, right_key, left_key, k, right_blocks, left_blocks, policy, failures, False, must_explore, right_cache, left_cache, least, most, in_flight
+        )
+        for (j, i), n, rows in turned:
+            yield (i, j), n, rows.select(*left.columns, *right.columns)
+        return
+
+    def counted(df: DataFrame, key: str, name: str) -> DataFrame:
+        return df.groupBy(F.col(key).alias(name)).agg(F.count(F.lit(1)).alias(f"_n{name}"))
+
+    left, right = left.where(F.col(left_key).isNotNull()), right.where(F.col(right_key).isNotNull())
+    ls, rs = _hashed(left, left_blocks, [left_key]), _hashed(right, right_blocks, [right_key])
+    lp = _hashed(left_pieces(counted(left, left_key, "l"), k), left_blocks, ["l"])
+    rp = _hashed(right_pieces(counted(right, right_key, "r"), k), right_blocks, ["r"])
+
+    def rows(p: Pair, met: DataFrame) -> DataFrame:
+        met = met.select(F.col("l").alias("_l"), F.col("r").alias("_r"))
+        found = ls[p[0]].join(met, F.col(left_key) == F.col("_l")).join(rs[p[1]], F.col("_r") == F.col(right_key))
+        return found.select(*left.columns, *right.columns)
+
+    queue = _Queue(policy, left_blocks, right_blocks, failures, must_explore, (left_cache, right_cache), (least, most))
+    yield from _run(queue, lambda p: near_pieces(lp[p[0]], rp[p[1]], k), in_flight, F.coalesce(F.sum(F.col("_nl") * F.col("_nr")), F.lit(0)), rows)
+
+
+def _run(
+    queue: _Queue, joined: Callable[[Pair], DataFrame], in_flight: int, counted: Column | None = None, rows_of: Callable[[Pair, DataFrame], DataFrame] | None = None
+) -> Iterator[Part]:
+    """Pairs as the queue gives them, a few at a time, yielded in the order in which they were taken.
+
+    ``joined`` is stored, and ``counted`` over it is the number of matches; ``rows_of`` makes the rows from what is stored.
+    """
+    counted = F.count(F.lit(1)) if counted is None else counted
 
     def one(pair: Pair) -> Part:
         count = Observation()
-        rows = durable(joined(pair).observe(count, F.count(F.lit(1)).alias("n")), "pairs")
-        return pair, count.get["n"], rows
+        stored = durable(joined(pair).observe(count, counted.alias("n")), "pairs")
+        return pair, count.get["n"], stored if rows_of is None else rows_of(pair, stored)
 
     with ThreadPoolExecutor(max(1, in_flight)) as pool:
         running = []

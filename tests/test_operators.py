@@ -14,7 +14,7 @@ from loomql.operators import dml, progressive, reshaping, rewrites, special_join
 from loomql.operators.cursor import Cursor
 from loomql.operators.sampling import tablesample
 from loomql.operators.skew import hot_cold_join
-from loomql.plans import explain
+from loomql.plans import explain, joins
 from loomql.session import durable, stages
 from loomql.sources import foreign, sinks
 
@@ -54,6 +54,27 @@ def test_progressive_join_gives_the_plain_join(spark, policy, blocks):
     assert sorted(map(tuple, got.select("x", "y").collect())) == sorted(map(tuple, want.collect()))
 
 
+@pytest.mark.parametrize("policy", progressive.POLICIES)
+@pytest.mark.parametrize("flip", [False, True])
+def test_progressive_edit_join_gives_every_row_once(spark, policy, flip):
+    left = ["", "a", "ab", "abc", "abc", None, "xyz", "b c", "abcde", "abdde", "é", "x"]
+    right = ["abd", "abd", "", "zz", None, "abcdef", "bc", "e", "xyz"]
+    a, b = spark.createDataFrame(list(enumerate(left)), "i int, a string"), spark.createDataFrame(list(enumerate(right)), "j int, b string")
+    parts = list(progressive.progressive_edit_join(a, b, "a", "b", 2, 3, 2, policy, flip=flip))
+    got = [(p, n, [(r.i, r.a, r.j, r.b) for r in rows.collect()]) for p, n, rows in parts]
+    assert sorted(p for p, _, _ in got) == [(i, j) for i in range(3) for j in range(2)] and all(n == len(rows) for _, n, rows in got)
+    want = sorted((i, x, j, y) for i, x in enumerate(left) for j, y in enumerate(right) if x is not None and y is not None and lev(x, y) <= 2)
+    assert sorted(r for _, _, rows in got for r in rows) == want
+
+
+@pytest.mark.parametrize("name", ["progressive_block"])
+def test_progressive_queries_compare_no_pair_of_all_rows(spark, sf_dir, monkeypatch, name):
+    plans = []
+    monkeypatch.setattr(progressive, "durable", lambda df, *more: (plans.append(df._jdf.queryExecution().executedPlan().toString()), durable(df, *more))[1])
+    joins.R.queries[name](spark, sf_dir)
+    assert len(plans) == 12 and not any("NestedLoop" in p or "Cartesian" in p for p in plans)
+
+
 def test_time_to_k(spark):
     a, b = spark.range(10).toDF("x"), spark.range(10).toDF("y")
     r = progressive.time_to_k(progressive.progressive_join(a, b, lambda p, q: p.x == q.y, 2, 2), [1, 5, 99])

@@ -54,6 +54,26 @@ def test_progressive_join_gives_the_plain_join(spark, policy, blocks):
     assert sorted(map(tuple, got.select("x", "y").collect())) == sorted(map(tuple, want.collect()))
 
 
+@pytest.mark.parametrize("rows", [1, 3, 1000])
+def test_edit_join_chain_equals_theta_joins(spark, rows):
+    left, middle = ["", "ab", "ab", "ab", "abc", None, "abcdefg", "x y"], ["ab", "ab", "abd", "", None, "abcdeX", "xy"]
+    right = ["ab", "abc", "abc", "a", "zz", None, "abcd", "xyz"]
+    tables = [spark.createDataFrame(list(enumerate(w)), f"{n} int, {n}k string") for n, w in zip("abc", (left, middle, right), strict=True)]
+    got = special_joins.edit_join_chain(*tables, "ak", "bk", "ck", 1, 5, rows)
+    cut = lambda s: s[:5].strip(" ")
+    near = lambda x, y: x is not None and y is not None and lev(cut(x), cut(y)) <= 1
+    want = sorted((i, j, h) for i, x in enumerate(left) for j, y in enumerate(middle) if near(x, y) for h, z in enumerate(right) if near(y, z))
+    assert got.columns == ["a", "ak", "b", "bk", "c", "ck"]
+    assert sorted((r.a, r.b, r.c) for r in got.collect()) == want
+
+
+def test_edit_join_chain_cuts_a_hot_key(spark):
+    side = lambda n, name: spark.range(n).select(F.col("id").alias(name), F.lit("hot").alias(f"{name}k"))
+    got = special_joins.edit_join_chain(side(40, "a"), side(10, "b"), side(50, "c"), "ak", "bk", "ck", 1, 5, 1000)
+    sizes = [r.n for r in got.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert sum(sizes) == 20_000 and got.distinct().count() == 20_000 and len(sizes) > 5 and max(sizes) < 10_000
+
+
 @pytest.mark.parametrize("policy", progressive.POLICIES)
 @pytest.mark.parametrize("flip", [False, True])
 def test_progressive_edit_join_gives_every_row_once(spark, policy, flip):

@@ -87,7 +87,7 @@ def test_progressive_edit_join_gives_every_row_once(spark, policy, flip):
     assert sorted(r for _, _, rows in got for r in rows) == want
 
 
-@pytest.mark.parametrize("name", ["progressive_block", "progressive_ripple", "progressive_one_sided", "progressive_two_sided"])
+@pytest.mark.parametrize("name", ["progressive_block", "progressive_ripple", "progressive_one_sided", "progressive_two_sided", "progressive_online_ripple"])
 def test_progressive_queries_compare_no_pair_of_all_rows(spark, sf_dir, monkeypatch, name):
     plans = []
     monkeypatch.setattr(progressive, "durable", lambda df, *more: (plans.append(df._jdf.queryExecution().executedPlan().toString()), durable(df, *more))[1])
